@@ -13,6 +13,7 @@ from loanloom.operators import features as X
 from loanloom.operators import models as M
 from loanloom.operators import neighbors as N
 from loanloom.plans.default_model import learn_preparation
+from loanloom.session import materialized
 
 # --- evaluation of a fixed score ---------------------------------------------
 
@@ -238,9 +239,9 @@ def stratified_split(spark, d):
 @lru_cache(maxsize=4)
 def _prepared(spark, d):
     """(preparation, complete rows, is_test flag) of the model frame."""
-    rows = labelled_rows(spark, d)
+    rows = materialized(labelled_rows(spark, d))
     prep = learn_preparation(rows)
-    return prep, X.stratified_test_flag(prep.apply(rows), 0.25)
+    return prep, materialized(X.stratified_test_flag(prep.apply(rows), 0.25))
 
 
 @lru_cache(maxsize=4)
@@ -328,15 +329,16 @@ def neural_net(spark, d):
 
 @register("cross_validation")
 def cross_validation(spark, d):
+    prep, _ = _prepared(spark, d)
     train, _ = _split(spark, d)
-    return M.cross_validate(train, lambda part: M.forest(part, trees=20))
+    return M.cross_validate(train, lambda part: M.neural_net(part, len(prep.feature_names)))
 
 
 @register("scored_later_cohort")
 def scored_later_cohort(spark, d):
     """Fit on vintages up to 1997, score the later ones with the same preparation."""
     vintage = acq(spark, d).select("loan_id", F.substring("orig_dte", 4, 4).alias("year"))
-    rows = labelled_rows(spark, d).join(vintage, "loan_id")
+    rows = materialized(labelled_rows(spark, d).join(vintage, "loan_id"))
     early = rows.filter(F.col("year") <= "1997").drop("year")
     late = rows.filter(F.col("year") > "1997").drop("year")
     prep = learn_preparation(early)

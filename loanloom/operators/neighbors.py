@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from loanloom.operators.features import hash_fraction
 from loanloom.operators.ranked import running_totals
+from loanloom.session import materialized
 
 BOX_POINTS = 2_000  # aim for this many distinct points per box ...
 MAX_BOXES = 1 << 14  # ... with at most this many boxes
@@ -133,15 +134,16 @@ def distinct_vectors(df: DataFrame, columns: list[str], label: str | None = None
     )
 
 
-_FOUND = "v array<double>, distance double, neighbor array<double>, n bigint, n_pos bigint"
+_FOUND = "q array<double>, distance double, neighbor array<double>, n bigint, n_pos bigint"
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest distinct points of every distinct query vector.
 
     ``points`` come from :func:`distinct_vectors`; ``queries`` has a column
-    ``v`` of distinct vectors.  Result: one row per query and neighbour.
+    ``v`` of distinct vectors.  Result: one row per query ``q`` and neighbour.
     """
+    points = materialized(points)
     total = points.count()
     boxes = int(min(MAX_BOXES, max(1, -(-total // BOX_POINTS))))
     share = min(1.0, SAMPLE_PER_BOX * boxes / max(total, 1))
@@ -164,19 +166,19 @@ def nearest(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return pd.Series([o[o != h] for o, h in zip(out, at_home)])
 
     placed = points.withColumn("box", home("v"))
-    asked = queries.select("v").withColumn("box", home("v"))
-    first = _search(placed, asked, k)
+    asked = queries.select(F.col("v").alias("q")).withColumn("box", home("q"))
+    first = materialized(_search(placed, asked, k))
     # Distance of the k-th neighbour in the own box; unknown if it has fewer.
-    bound = first.groupBy("v").agg(
+    bound = first.groupBy("q").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("radius")
     )
     visits = (
-        asked.join(bound, "v", "left")
-        .withColumn("box", F.explode(others("v", "radius", "box")))
-        .select("v", "box")
+        asked.join(bound, "q", "left")
+        .withColumn("box", F.explode(others("q", "radius", "box")))
+        .select("q", "box")
     )
     found = first.unionByName(_search(placed, visits, k))
-    rank = F.row_number().over(Window.partitionBy("v").orderBy("distance", "neighbor"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "neighbor"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
@@ -186,7 +188,7 @@ def _search(points: DataFrame, visits: DataFrame, k: int) -> DataFrame:
     slices = visits.groupBy("box").agg(
         F.ceil(F.count(F.lit(1)) / QUERY_SLICE).cast("int").alias("slices")
     )
-    cut = F.pmod(F.xxhash64("v"), F.col("slices")).cast("int")
+    cut = F.pmod(F.xxhash64("q"), F.col("slices")).cast("int")
     asked = visits.join(F.broadcast(slices), "box").withColumn("slice", cut).drop("slices")
     held = points.join(F.broadcast(slices), "box").withColumn(
         "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
@@ -194,12 +196,12 @@ def _search(points: DataFrame, visits: DataFrame, k: int) -> DataFrame:
 
     def look(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame(columns=["v", "distance", "neighbor", "n", "n_pos"])
-        pos, dist = _best(_matrix(p["v"]), _matrix(q["v"]), k)
+            return pd.DataFrame(columns=["q", "distance", "neighbor", "n", "n_pos"])
+        pos, dist = _best(_matrix(p["v"]), _matrix(q["q"]), k)
         which, flat = np.repeat(np.arange(len(q)), pos.shape[1]), pos.ravel()
         return pd.DataFrame(
             {
-                "v": q["v"].to_numpy()[which],
+                "q": q["q"].to_numpy()[which],
                 "distance": dist.ravel(),
                 "neighbor": p["v"].to_numpy()[flat],
                 "n": p["n"].to_numpy()[flat],
@@ -220,7 +222,7 @@ def take_neighbors(found: DataFrame, k: int, skip_self: bool) -> DataFrame:
     """
     own = F.when(F.col("distance") == 0, 1).otherwise(0) if skip_self else F.lit(0)
     usable = found.withColumn("usable", F.col("n") - own)
-    w = Window.partitionBy("v").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("q").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("usable").over(w), F.lit(0))
     taken = F.greatest(F.least(F.col("usable"), k - F.col("before")), F.lit(0))
     return (
@@ -251,7 +253,7 @@ def knn_scores(
             F.sum(F.when(hit, positive * w)), F.sum(F.when(hit, F.col("taken") * w))
         )
 
-    scores = near.groupBy("v").agg(
+    scores = near.groupBy(F.col("q").alias("v")).agg(
         F.coalesce(share(exact, F.lit(1.0)), share(~exact, weight)).alias("score")
     )
     scored = test.withColumn("v", vector(columns)).join(scores, "v").drop("v")
@@ -280,11 +282,11 @@ def edited_nearest_neighbors(
         ).filter(F.col("n") > 0)
     agreed = None
     for y, near in marks.items():
-        w = Window.partitionBy("v").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+        w = Window.partitionBy("q").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
         before = F.coalesce(F.sum("n").over(w), F.lit(0))
         taken = F.greatest(F.least(F.col("n"), k - F.col("before")), F.lit(0))
         near = near.withColumn("before", before).withColumn("taken", taken)
-        votes = near.groupBy("v").agg(
+        votes = near.groupBy(F.col("q").alias("v")).agg(
             F.sum(F.col("taken") * F.col("same") / F.col("n")).alias("agree"),
             F.sum("taken").alias("asked"),
         ).withColumn("vote_label", F.lit(y))
@@ -316,7 +318,7 @@ def smote(
     points = distinct_vectors(rare, columns)
     near = take_neighbors(nearest(points, points, k + 1), k, skip_self=True)
     # At most k + 1 neighbour points per vector.
-    choices = near.groupBy("v").agg(
+    choices = near.groupBy(F.col("q").alias("v")).agg(
         F.sort_array(F.collect_list(F.struct("distance", "neighbor", "taken"))).alias("choices")
     ).withColumn("choices", F.flatten(F.transform("choices", _repeat)))
 
@@ -368,4 +370,5 @@ def smote_enn(
     seed: int = 0,
 ) -> DataFrame:
     """Oversample, then clean.  Apply to a training set only, after splitting."""
-    return edited_nearest_neighbors(smote(train, columns, k, label, key, seed), columns, clean_k, label)
+    grown = materialized(smote(train, columns, k, label, key, seed))
+    return edited_nearest_neighbors(grown, columns, clean_k, label)

@@ -75,7 +75,7 @@ class PanelPart:
         if not self.block:
             return self.rows.withColumn("copy", F.lit(1)).drop("copies")
         copies = F.sequence(F.lit(1), F.col("copies").cast("int"))
-        return self.rows.withColumn("copy", F.explode(copies)).drop("copies", *self.block)
+        return self.rows.withColumn("copy", F.explode(copies)).drop("copies", "seq_block")
 
 
 def keys_above(df: DataFrame, keys, limit: int, *extra: Column) -> DataFrame:
@@ -343,15 +343,11 @@ def collapse(panel: DataFrame, keys=KEYS, big_loan_rows=BIG_LOAN_ROWS) -> DataFr
     the exchange of the scan.  The running modification costs are summed here
     without the origination rate, which enters once per loan afterwards.
     """
-    dropped = ("prev_upb", "row_seq", "month_no", "last_upb", "non_int_upb", "copies")
+    dropped = ("prev_upb", "row_seq", "month_no", "last_upb", "non_int_upb", "copies", "seq_block")
     out = []
     for part in split_by_size(panel, keys, big_loan_rows):
         scanned = scan(part)
-        closing = [
-            c
-            for c in scanned.rows.columns
-            if c not in (*keys, *dropped) and (c == "period" or c not in part.block)
-        ]
+        closing = [c for c in scanned.rows.columns if c not in (*keys, *dropped)]
         last = F.max_by(F.struct(*closing), F.struct(*ORDER)).alias("closing")
         measures = [*_flag_aggregates(), *_event_aggregates(), *_cost_aggregates()]
         out.append(_summarise(scanned, [last, *measures]))

@@ -2,7 +2,7 @@
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "loanloom", memory: str = "16g") -> SparkSession:
@@ -38,3 +38,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     )
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loanloom-checkpoint-"))
     return context.getCheckpointDir()
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder, its lineage cut.
+
+    Iterative work reads its input many times; a reliable checkpoint keeps it
+    from being recomputed, also after an executor is lost.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
