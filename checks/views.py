@@ -135,8 +135,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share the rows of a small file among all cores.
+
+    One small file is read by a task or two; a table with at least as many
+    splits as cores (any large one) is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def loan_acq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
+    orders = spread(table(spark, sf_dir, "orders")).withColumn("k", F.col("o_orderkey"))
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(
@@ -146,7 +156,7 @@ def loan_acq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loan_perf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = table(spark, sf_dir, "lineitem")
+    lineitem = spread(table(spark, sf_dir, "lineitem"))
     return lineitem.selectExpr(*_exprs(_PERF_BASE)).selectExpr(*_exprs(_PERF))
 
 

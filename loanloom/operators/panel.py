@@ -26,6 +26,8 @@ ORDER = ("period", "row_seq")
 # such loans, which is broadcast: at most (panel rows / BIG_LOAN_ROWS) ids.
 BIG_LOAN_ROWS = 1_000_000
 BLOCKS_PER_PERIOD = 16_384
+BLOCK = ("period_block", "seq_block")
+EARLIEST = "0001-01-01"  # block of rows without a period, which come first
 
 
 def prepare_panel(perf: DataFrame, row_seq: str | None = None, keys=KEYS) -> DataFrame:
@@ -75,16 +77,16 @@ class PanelPart:
         if not self.block:
             return self.rows.withColumn("copy", F.lit(1)).drop("copies")
         copies = F.sequence(F.lit(1), F.col("copies").cast("int"))
-        return self.rows.withColumn("copy", F.explode(copies)).drop("copies", "seq_block")
+        return self.rows.withColumn("copy", F.explode(copies)).drop("copies", *self.block)
 
 
-def keys_above(df: DataFrame, keys, limit: int, *extra: Column) -> DataFrame:
+def keys_above(df: DataFrame, keys, limit: int) -> DataFrame:
     """Keys with more than ``limit`` rows: at most (rows / limit) of them.
 
     The count combines on the map side, so a hot key costs nothing here, and
     only the key columns are read.
     """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_of_key"), *extra)
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_of_key"))
     return counted.filter(F.col("rows_of_key") > limit).drop("rows_of_key")
 
 
@@ -100,24 +102,26 @@ def split_by_size(
     keys = tuple(keys)
     one = F.lit(1).cast("bigint")
     if big_loan_rows is not None:
-        lo = F.min("row_seq").cast("double").alias("seq_lo")
-        hi = F.max("row_seq").cast("double").alias("seq_hi")
-        big = keys_above(panel, keys, big_loan_rows, lo, hi)
+        big = keys_above(panel, keys, big_loan_rows)
     if big_loan_rows is None or big.isEmpty():
         return [PanelPart(panel.withColumn("copies", one), keys)]
     ordinary = panel.join(F.broadcast(big), list(keys), "left_anti")
     place = (F.col("row_seq").cast("double") - F.col("seq_lo")) / (
         F.col("seq_hi") - F.col("seq_lo") + 1
     )
+    of_big = panel.join(F.broadcast(big), list(keys))
+    seq = F.col("row_seq").cast("double")
+    span = of_big.groupBy(*keys).agg(F.min(seq).alias("seq_lo"), F.max(seq).alias("seq_hi"))
     blocked = (
-        panel.join(F.broadcast(big), list(keys))
+        of_big.join(F.broadcast(span), list(keys))
         .withColumn("seq_block", F.floor(place * BLOCKS_PER_PERIOD))
         .groupBy(*panel.columns, "seq_block")
         .agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("period_block", F.coalesce("period", F.lit(EARLIEST).cast("date")))
     )
     return [
         PanelPart(ordinary.withColumn("copies", one), keys),
-        PanelPart(blocked, keys, ("period", "seq_block"), big.select(*keys)),
+        PanelPart(blocked, keys, BLOCK, big),
     ]
 
 
@@ -155,10 +159,8 @@ def earlier_rows(part: PanelPart, states: dict[str, tuple[str, Column]]) -> Data
         *[summarise[kind](x).alias(name) for name, (kind, x) in states.items()]
     )
     # One row per block of a loan: at most periods x BLOCKS_PER_PERIOD of them.
-    blocks_before = (
-        Window.partitionBy(*part.keys).orderBy(*part.block)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    blocks = Window.partitionBy(*part.keys).orderBy(*part.block)
+    blocks_before = blocks.rowsBetween(Window.unboundedPreceding, -1)
     carry = {
         "sum": lambda c: F.coalesce(F.sum(c).over(blocks_before), zero),
         "last": lambda c: F.last(c, ignorenulls=True).over(blocks_before),
@@ -343,7 +345,7 @@ def collapse(panel: DataFrame, keys=KEYS, big_loan_rows=BIG_LOAN_ROWS) -> DataFr
     the exchange of the scan.  The running modification costs are summed here
     without the origination rate, which enters once per loan afterwards.
     """
-    dropped = ("prev_upb", "row_seq", "month_no", "last_upb", "non_int_upb", "copies", "seq_block")
+    dropped = ("prev_upb", "row_seq", "month_no", "last_upb", "non_int_upb", "copies", *BLOCK)
     out = []
     for part in split_by_size(panel, keys, big_loan_rows):
         scanned = scan(part)

@@ -20,6 +20,9 @@ def local_session(cpus: int = 8, app: str = "loanloom", memory: str = "16g") ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
+        # The JVM compiles no method above 8000 bytes; wide rows exceed that in one
+        # fused method and then run interpreted.  Split code is far faster there.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
 
@@ -27,7 +30,8 @@ def local_session(cpus: int = 8, app: str = "loanloom", memory: str = "16g") ->
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the session names in ``spark.checkpoint.dir``.
 
-    Only where none is configured (local tests) is a private folder set.
+    Only in local mode, and only where none is configured, is a private folder
+    set; a cluster needs a folder all its machines share.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -36,6 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loanloom-checkpoint-"))
     return context.getCheckpointDir()
 

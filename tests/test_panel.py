@@ -85,7 +85,7 @@ def skewed_panel(spark):
         for i in range(n):
             row = (
                 loan,
-                datetime.date(2001, rnd.randint(1, 12), 1),
+                rnd.choice([None, *[datetime.date(2001, m, 1) for m in range(1, 13)]]),
                 rnd.choice([None, 0.0, 100.0, 250.0]),
                 rnd.choice([None, 0.0, 40.0]),
                 rnd.choice(["Y", "N", None]),
