@@ -407,15 +407,15 @@ def event_columns() -> list[Column]:
 def _cost_aggregates() -> list[Column]:
     is_mod = L.modified(F.col("mod_flag"))
     upb, rate, copies = F.col("upb"), F.col("last_rt"), F.col("copies")
-    forbearance = L.forbearance_cost(F.col("mod_flag"), rate, F.col("non_int"))
+    forborne = is_mod & F.col("non_int").isNotNull()
+    # Sums of products first, the division once per loan: exact for longer.
+    yearly = F.coalesce(F.sum(F.when(forborne, rate * F.col("non_int") * copies)), F.lit(0.0))
     return [
         F.max(is_mod).alias("ever_modified"),
         F.coalesce(F.sum(F.when(is_mod, upb * copies)), F.lit(0.0)).alias("mod_upb_sum"),
         F.coalesce(F.sum(F.when(is_mod, rate * upb * copies)), F.lit(0.0)).alias("mod_rate_upb_sum"),
         F.max(is_mod & (upb * rate).isNull()).alias("modir_gap"),
-        F.when(F.count_if(forbearance.isNull()) == 0, F.sum(forbearance * copies)).alias(
-            "c_modfb_cost"
-        ),
+        F.when(F.count_if(forborne & rate.isNull()) == 0, yearly / 1200).alias("c_modfb_cost"),
     ]
 
 
