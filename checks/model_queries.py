@@ -5,7 +5,7 @@ from functools import lru_cache
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from checks.registry import acq, combined, labelled_rows, oracle, r, register, tidy
+from checks.registry import acq, closing_codes, labelled_rows, oracle, r, register, tidy
 from loanloom.functions import loan as L
 from loanloom.operators import curves as C
 from loanloom.operators import evaluate as E
@@ -26,7 +26,7 @@ _CONFUSION = """SELECT sum(CASE WHEN label = 0 AND prediction = 0 THEN 1 ELSE 0
 
 
 def scored(spark, d):
-    df = combined(spark, d).select(
+    df = closing_codes(spark, d).select(
         "loan_id",
         L.default_label(F.col("zero_bal_code"), F.col("disp_dt")).alias("label"),
         L.lowest_score_borrower_first(F.col("cscore_b"), F.col("cscore_c")).alias("cscore_mn"),

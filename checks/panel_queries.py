@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import acq, combined, loans, oracle, panel, perf, r, register, text, tidy, _day, _month
+from checks.registry import acq, closing_codes, combined, loans, oracle, panel, perf, r, register, text, tidy, _day, _month
 from loanloom.functions import dates as D
 from loanloom.functions import loan as L
 from loanloom.operators import panel as P
@@ -118,7 +118,7 @@ def valid_zip_prefix(spark, d):
     oracle("SELECT loan_id, CASE WHEN coalesce(fcc_dte, '') <> '' THEN 1 ELSE 0 END AS label FROM combined", "combined"),
 )
 def foreclosure_labels(spark, d):
-    return combined(spark, d).select("loan_id", L.foreclosure_label(F.col("fcc_dte")).alias("label"))
+    return closing_codes(spark, d).select("loan_id", L.foreclosure_label(F.col("fcc_dte")).alias("label"))
 
 
 @register(

@@ -59,6 +59,17 @@ def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combined_table(acq(spark, sf_dir), perf(spark, sf_dir), "row_seq")
 
 
+@lru_cache(maxsize=8)
+def closing_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combined table with only the closing columns that outcomes need.
+
+    The closing row is picked as a whole, so the panel has to be narrowed first.
+    """
+    needed = ("monthly_rpt_prd", "delq_status", "zero_bal_code", "fcc_dte", "disp_dt", "row_seq")
+    narrow = perf(spark, sf_dir).select("loan_id", *needed)
+    return combined_table(acq(spark, sf_dir), narrow, "row_seq")
+
+
 @lru_cache(maxsize=8)
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zip_centroids(views.zips(spark, sf_dir))
@@ -66,7 +77,7 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=8)
 def labelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model_rows(combined(spark, sf_dir), centroids(spark, sf_dir))
+    return model_rows(closing_codes(spark, sf_dir), centroids(spark, sf_dir))
 
 
 # --- comparable output -------------------------------------------------------

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks import views
-from checks.registry import acq, centroids, combined, labelled_rows, loans, oracle, panel, r, register, tidy
+from checks.registry import acq, centroids, closing_codes, combined, labelled_rows, loans, oracle, panel, r, register, tidy
 from loanloom.functions import dates as D
 from loanloom.functions import loan as L
 from loanloom.operators import profile as R
@@ -251,7 +251,7 @@ def rounded_amounts(spark, d):
 
 @register("zip_value_counts", oracle("SELECT zip_3 AS value, count(*) AS n FROM combined GROUP BY 1", "combined"))
 def zip_value_counts(spark, d):
-    return R.value_counts(combined(spark, d), "zip_3")
+    return R.value_counts(closing_codes(spark, d), "zip_3")
 
 
 @register(
@@ -259,7 +259,7 @@ def zip_value_counts(spark, d):
     oracle("SELECT zero_bal_code AS value, count(*) AS n FROM combined GROUP BY 1", "combined"),
 )
 def zero_balance_value_counts(spark, d):
-    return R.value_counts(combined(spark, d), "zero_bal_code")
+    return R.value_counts(closing_codes(spark, d), "zero_bal_code")
 
 
 @register(
@@ -270,7 +270,7 @@ def zero_balance_value_counts(spark, d):
     ),
 )
 def delinquency_by_zero_balance(spark, d):
-    return R.group_counts(combined(spark, d), "delq_status", "zero_bal_code")
+    return R.group_counts(closing_codes(spark, d), "delq_status", "zero_bal_code")
 
 
 def _combined_columns():
@@ -322,7 +322,7 @@ _LABELLED = "SELECT label, {} FROM labelled"
 )
 def default_labels(spark, d):
     zb, disp = F.col("zero_bal_code"), F.col("disp_dt")
-    return combined(spark, d).select(
+    return closing_codes(spark, d).select(
         "loan_id",
         L.default_label(zb, disp).cast("double").alias("label"),
         L.default_label(zb, disp, require_disposition=True).cast("double").alias("strict_label"),
@@ -330,7 +330,7 @@ def default_labels(spark, d):
 
 
 def _labelled(spark, d):
-    df = combined(spark, d)
+    df = closing_codes(spark, d)
     return df.withColumn("label", L.default_label(F.col("zero_bal_code"), F.col("disp_dt")))
 
 
@@ -459,7 +459,7 @@ _BOXED = ["ocltv", "dti", "cscore_b", "orig_rt"]
     ),
 )
 def box_statistics(spark, d):
-    df = combined(spark, d).withColumn("label", L.foreclosure_label(F.col("fcc_dte")))
+    df = closing_codes(spark, d).withColumn("label", L.foreclosure_label(F.col("fcc_dte")))
     return tidy(R.box_stats(df, _BOXED))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanloom.functions.loan import log_feature
-from loanloom.operators.ranked import quantiles
+from loanloom.operators.ranked import quantile_columns, running_totals
 
 DENSITY_NODES = 128
 WHISKER = 1.5
@@ -101,25 +101,31 @@ def _long(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     return numbers.unpivot(keys, columns, "column", "x").filter(F.col("x").isNotNull())
 
 
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Min, quartiles, mean, max and number of missing values per column."""
-    marks = quantiles(
-        _long(df, columns, []), "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ("column",)
+    """Min, quartiles, mean, max and number of missing values per column.
+
+    Missing values are a group of their own in the running totals, so that all
+    statistics come from one pass over ``df``.
+    """
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    long = numbers.unpivot([], columns, "column", "x").select(
+        "column", F.col("x").isNull().alias("missing"), F.coalesce("x", F.lit(0.0)).alias("x")
     )
-    plain = df.agg(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.min(c).cast("double").alias("min"),
-                F.avg(c).alias("mean"),
-                F.max(c).cast("double").alias("max"),
-                F.count_if(F.col(c).isNull()).cast("double").alias("nulls"),
-            ).alias(c)
-            for c in columns
-        ]
-    ).select(F.inline(F.array(*columns)))
-    return plain.join(marks, "column", "left").select(
-        "column", "min", "q1", "median", "mean", "q3", "max", "nulls"
+    totals = running_totals(long, "x", {"n": F.lit(1)}, ("column", "missing"))
+    present, n = ~F.col("missing"), F.col("n")
+    shown = F.when(present, F.col("x"))
+    q1, median, q3 = quantile_columns("x", QUARTILES, present)
+    return totals.groupBy("column").agg(
+        F.min(shown).alias("min"),
+        q1,
+        median,
+        F.try_divide(F.sum(shown * n), F.sum(F.when(present, n))).alias("mean"),
+        q3,
+        F.max(shown).alias("max"),
+        F.coalesce(F.sum(F.when(~present, n)), F.lit(0)).cast("double").alias("nulls"),
     )
 
 
@@ -129,15 +135,16 @@ def box_stats(df: DataFrame, columns: list[str], label: str = "label") -> DataFr
     A whisker ends at the outermost value within 1.5 interquartile ranges.
     """
     long = _long(labelled(df, label), columns, [label])
-    marks = quantiles(long, "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, (label, "column"))
+    totals = running_totals(long, "x", {"n": F.lit(1)}, (label, "column"))
+    marks = totals.groupBy(label, "column").agg(*quantile_columns("x", QUARTILES))
     reach = WHISKER * (F.col("q3") - F.col("q1"))
     # The marks have one row per label and column, whatever the number of loans.
-    inside = long.join(F.broadcast(marks), [label, "column"]).filter(
+    inside = totals.join(F.broadcast(marks), [label, "column"]).filter(
         F.col("x").between(F.col("q1") - reach, F.col("q3") + reach)
     )
     return inside.groupBy(label, "column").agg(
         F.min("x").alias("low"),
-        *[F.max(m).alias(m) for m in ("q1", "median", "q3")],
+        *[F.max(m).alias(m) for m in QUARTILES],
         F.max("x").alias("high"),
     )
 

@@ -12,6 +12,8 @@ gives the same result.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanloom.session import materialized
+
 # Buckets per unit of log(1 + |value|); a coarse bucket has 2**16 fine ones, and
 # there are about 28 * 4096 coarse ones for values up to 1e12.
 COARSE = 1 << 12
@@ -54,6 +56,8 @@ def running_totals(
         .agg(*[F.sum(m).alias(n) for n, m in measures.items()])
         .withColumns({"coarse": _bucket(F.col(value), COARSE), "fine": _bucket(F.col(value), FINE)})
     )
+    # Read three times below; the input is computed once.
+    distinct = materialized(distinct)
     fine = distinct.groupBy(*keys, "coarse", "fine").agg(*sums())
     whole = Window.partitionBy(*keys)
     coarse = (
@@ -74,21 +78,30 @@ def running_totals(
     )
 
 
-def quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], keys: tuple[str, ...] = ()
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per ``keys``."""
-    totals = running_totals(df, value, {"n": F.lit(1)}, keys)
-    v, first, past = F.col(value), F.col("n_before"), F.col("n_before") + F.col("n")
-
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank < past), v))
+def quantile_columns(value: str, probs: dict[str, float], present: Column | None = None) -> list[Column]:
+    """Aggregates that read exact quantiles off :func:`running_totals` rows.
 
+    The rows need a measure ``n`` that counts.  ``present`` limits the quantiles
+    to some of the rows; those must be whole ``keys`` groups of the totals.
+    """
+    v, first, past = F.col(value), F.col("n_before"), F.col("n_before") + F.col("n")
+    present = F.lit(True) if present is None else present
     out = []
     for name, p in probs.items():
         rank = (F.col("n_total") - 1) * F.lit(float(p))
-        low = value_at(F.floor(rank))
-        high = value_at(F.ceil(rank))
-        part = F.max(rank - F.floor(rank))
+
+        def value_at(place: Column) -> Column:
+            return F.max(F.when(present & (first <= place) & (place < past), v))
+
+        low, high = value_at(F.floor(rank)), value_at(F.ceil(rank))
+        part = F.max(F.when(present, rank - F.floor(rank)))
         out.append((low + part * (high - low)).alias(name))
-    return totals.groupBy(*keys).agg(*out)
+    return out
+
+
+def quantiles(
+    df: DataFrame, value: str, probs: dict[str, float], keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per ``keys``."""
+    totals = running_totals(df, value, {"n": F.lit(1)}, keys)
+    return totals.groupBy(*keys).agg(*quantile_columns(value, probs))

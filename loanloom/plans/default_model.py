@@ -33,7 +33,11 @@ GAPPY = ["num_bo"]
 
 
 def combined_table(acq: DataFrame, perf: DataFrame, row_seq: str | None = None) -> DataFrame:
-    """Acquisitions joined with every loan's closing panel row (55 columns)."""
+    """Acquisitions joined with every loan's closing panel row (55 columns).
+
+    Give a ``perf`` with only the columns needed (and ``monthly_rpt_prd``) for a
+    narrower table: the closing row is picked as a whole.
+    """
     seq = F.col(row_seq).cast("bigint") if row_seq else F.xxhash64(*perf.columns)
     placed = perf.withColumns({"period": parse_day(F.col("monthly_rpt_prd")), "row_seq": seq})
     last = panel.last_rows(placed).drop("period", "row_seq")
