@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import acq, closing_codes, combined, loans, oracle, panel, perf, r, register, text, tidy, _day, _month
+from checks.registry import acq, closing_codes, combined, loans, oracle, panel, perf, r, register, sql_day, sql_month, text, tidy
 from loanloom.functions import dates as D
 from loanloom.functions import loan as L
+from loanloom.functions.nulls import is_in
 from loanloom.operators import panel as P
 from loanloom.operators import profile as R
 from loanloom.operators.joins import cohort_overlap
@@ -23,9 +24,9 @@ def renamed_columns(spark, d):
 @register(
     "parsed_dates",
     oracle(
-        f"""SELECT loan_id, row_seq, CAST({_day('monthly_rpt_prd')} AS VARCHAR) AS period, CAST({_day('disp_dt')} AS VARCHAR) AS disp_dt,
-        CAST({_day('fcc_dte')} AS VARCHAR) AS fcc_dte, CAST({_month('zb_dte')} AS VARCHAR) AS zb_month,
-        CAST({_day('lpi_dte')} AS VARCHAR) AS lpi_day FROM perf""",
+        f"""SELECT loan_id, row_seq, CAST({sql_day('monthly_rpt_prd')} AS VARCHAR) AS period, CAST({sql_day('disp_dt')} AS VARCHAR) AS disp_dt,
+        CAST({sql_day('fcc_dte')} AS VARCHAR) AS fcc_dte, CAST({sql_month('zb_dte')} AS VARCHAR) AS zb_month,
+        CAST({sql_day('lpi_dte')} AS VARCHAR) AS lpi_day FROM perf""",
         "perf",
     ),
 )
@@ -332,8 +333,6 @@ _loan_fields(
     ),
 )
 def status_groups(spark, d):
-    from loanloom.functions.nulls import is_in
-
     stat = F.col("last_stat")
     return loans(spark, d).select(
         "loan_id",

@@ -112,11 +112,11 @@ _LAST = "QUALIFY row_number() OVER (PARTITION BY loan_id ORDER BY period DESC, r
 _FIRST = "QUALIFY row_number() OVER (PARTITION BY loan_id ORDER BY period, row_seq) = 1"
 
 
-def _day(c: str) -> str:
+def sql_day(c: str) -> str:
     return f"CAST(try_strptime({c}, '%m/%d/%Y') AS DATE)"
 
 
-def _month(c: str) -> str:
+def sql_month(c: str) -> str:
     return f"CAST(try_strptime('01/' || {c}, '%d/%m/%Y') AS DATE)"
 
 
@@ -139,8 +139,8 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "perf": (views.LOAN_PERF_SQL, ()),
     "zips": (views.ZIPS_SQL, ()),
     "panel": (
-        f"""SELECT * EXCLUDE (disp_dt, fcc_dte), {_day('monthly_rpt_prd')} AS period,
-            {_day('disp_dt')} AS disp_dt, {_day('fcc_dte')} AS fcc_dte,
+        f"""SELECT * EXCLUDE (disp_dt, fcc_dte), {sql_day('monthly_rpt_prd')} AS period,
+            {sql_day('disp_dt')} AS disp_dt, {sql_day('fcc_dte')} AS fcc_dte,
             CASE WHEN delq_status = 'X' THEN 999 ELSE TRY_CAST(delq_status AS INTEGER) END AS delq,
             prin_forg_upb_fhfa + prin_forg_upb_oth AS prin_forg FROM perf""",
         ("perf",),
@@ -198,8 +198,8 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
                 CASE WHEN delq = 999 THEN 'X' WHEN delq > 9 THEN '9' WHEN delq = 0 THEN 'C'
                   ELSE CAST(delq AS VARCHAR) END END AS last_stat,
               CASE WHEN lpi_dte IS NOT NULL AND disp_dt IS NOT NULL
-                THEN {_months(_day('lpi_dte'), 'disp_dt')} ELSE 0 END AS lpi_months,
-              CASE WHEN disp_dt IS NOT NULL THEN {_months(_month('zb_dte'), 'disp_dt')} ELSE 0 END AS zb2disp
+                THEN {_months(sql_day('lpi_dte'), 'disp_dt')} ELSE 0 END AS lpi_months,
+              CASE WHEN disp_dt IS NOT NULL THEN {_months(sql_month('zb_dte'), 'disp_dt')} ELSE 0 END AS zb2disp
             FROM lastrow""",
         ("lastrow",),
     ),
@@ -235,7 +235,7 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         ("acq_derived", "closed", "flags", "fmod", "fce", "f180"),
     ),
     "loans": (
-        f"""SELECT *, CAST(year({_month('orig_dte')}) AS VARCHAR) AS vin_yr, CAST(year(last_dte) AS VARCHAR) AS act_yr,
+        f"""SELECT *, CAST(year({sql_month('orig_dte')}) AS VARCHAR) AS vin_yr, CAST(year(last_dte) AS VARCHAR) AS act_yr,
               coalesce(CAST(year(disp_dt) AS VARCHAR), 'NO DISP_DT') AS disp_yr,
               CASE WHEN (f180_delq = 6 AND f180_raw IS NULL AND f180_month <= 6) IS NULL THEN NULL
                 WHEN f180_delq = 6 AND f180_raw IS NULL AND f180_month <= 6 THEN orig_amt ELSE coalesce(f180_raw, 0.0e0) END AS f180_upb,
@@ -248,7 +248,7 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "combined": (
         f"SELECT a.*, p.* EXCLUDE (loan_id, row_seq, period) FROM acq a JOIN "
-        f"(SELECT *, {_day('monthly_rpt_prd')} AS period FROM perf {_LAST}) p ON a.loan_id = p.loan_id",
+        f"(SELECT *, {sql_day('monthly_rpt_prd')} AS period FROM perf {_LAST}) p ON a.loan_id = p.loan_id",
         ("acq", "perf"),
     ),
     "labelled": (

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from checks import views
-from checks.registry import acq, centroids, closing_codes, combined, labelled_rows, loans, oracle, panel, r, register, tidy
+from checks.registry import acq, centroids, closing_codes, combined, labelled_rows, loans, oracle, r, register, tidy
+from loanloom import schema
 from loanloom.functions import dates as D
 from loanloom.functions import loan as L
 from loanloom.operators import profile as R
@@ -273,17 +274,11 @@ def delinquency_by_zero_balance(spark, d):
     return R.group_counts(closing_codes(spark, d), "delq_status", "zero_bal_code")
 
 
-def _combined_columns():
-    from loanloom import schema
-
-    return schema.COMBINED.fieldNames()
-
-
 @register(
     "missing_counts",
     oracle(
         " UNION ALL ".join(
-            f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls FROM combined" for c in _combined_columns()
+            f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls FROM combined" for c in schema.COMBINED.fieldNames()
         ),
         "combined",
     ),
@@ -297,9 +292,7 @@ def missing_counts(spark, d):
     oracle(
         " UNION ALL ".join(
             f"SELECT {i} AS position, '{n}' AS \"column\", '{t}' AS type, count({n}) AS non_null FROM acq"
-            for i, (n, t) in enumerate(
-                (f.name, f.dataType.simpleString()) for f in __import__("loanloom.schema", fromlist=["x"]).ACQUISITION.fields
-            )
+            for i, (n, t) in enumerate((f.name, f.dataType.simpleString()) for f in schema.ACQUISITION.fields)
         ),
         "acq",
     ),
@@ -308,9 +301,6 @@ def frame_info(spark, d):
     return R.frame_info(acq(spark, d))
 
 
-_LABELLED = "SELECT label, {} FROM labelled"
-
-
 @register(
     "default_labels",
     oracle(

@@ -160,6 +160,7 @@ def density(
 
     Every value is shared between its two neighbouring grid points, so the data
     shrinks to at most ``nodes`` weights per curve before the kernel is applied.
+    ``df`` is read twice, for the ranges and for the weights: pass a stored table.
     """
     long = _long(labelled(df, label), columns, [label])
     bw = F.create_map(*[F.lit(v) for pair in bandwidth.items() for v in pair])

@@ -36,6 +36,9 @@ def running_totals(
     For every measure m the result has ``m`` (its sum at that value),
     ``m_before`` (its sum over all earlier values) and ``m_total``.  Rows with a
     missing value are not counted.
+
+    The distinct values are written to the checkpoint folder when this is called,
+    so that ``df`` is computed only once.
     """
     keys, names = list(keys), list(measures)
 
