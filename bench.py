@@ -1,8 +1,8 @@
 """Headline queries on the driver tables; prints one JSON line.
 
 ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the number of local cores.
-Every query is planned and run to the last row (``noop`` sink) once to warm up
-the JVM and then ``BENCH_RUNS`` times; the best time counts.
+Every query is planned and run to the last row (``noop`` sink) once and then
+``BENCH_RUNS`` times more; the best time counts, so a cold JVM does not.
 """
 
 import json
