@@ -1,7 +1,7 @@
 """Model families, cross-validation, scoring and feature importance.
 
 All fitting is done by Spark ML on a frame with ``features`` and ``label``.
-Parameters default to the reference settings of each family; where a learner
+Parameters default to the usual settings of the workflow; where a learner
 has no counterpart of a parameter the nearest one is named in the docstring.
 """
 
