@@ -58,12 +58,13 @@ def knapsack(size: int, lengths: np.ndarray, worth: np.ndarray) -> tuple[float,
     return float(best[size]), pattern
 
 
-def first_patterns(size: int, lengths: np.ndarray, demand: np.ndarray) -> np.ndarray:
-    """A basis to begin with: patterns filled longest first, each used until one length runs out.
+def first_patterns(size: int, lengths: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A basis to begin with, and its inverse: patterns filled longest first, each used until one length runs out.
 
     A pattern holds no length that an earlier one has used up, so the matrix is
-    triangular and regular.
+    triangular in the order in which lengths run out, and regular.
     """
+    runs_out = []
     left, alive = demand.copy(), np.ones(len(lengths), bool)
     out = np.zeros((len(lengths), len(lengths)))
     for p in range(len(lengths)):
@@ -77,28 +78,37 @@ def first_patterns(size: int, lengths: np.ndarray, demand: np.ndarray) -> np.nda
         gone = inside[int(copies.argmin())]
         left[inside] = np.maximum(left[inside] - pattern[inside] * copies.min(), 0)
         left[gone], alive[gone] = 0, False
-    return out
+        runs_out.append(int(gone))
+    inverse = np.zeros_like(out)
+    for p, i in enumerate(runs_out):
+        row = np.zeros(len(lengths))
+        row[i] = 1
+        for q in np.flatnonzero(out[i, :p]).tolist():
+            row -= out[i, q] * inverse[q]
+        inverse[p] = row / out[i, p]
+    return out, inverse
 
 
 def patterns(size: int, lengths: np.ndarray, demand: np.ndarray, most: int = ROUNDS):
     """Basic patterns (a row each) and how often each is used, fractionally, in the program's solution."""
-    basis = first_patterns(size, lengths, demand)  # column p: pattern p
-    inverse = np.linalg.inv(basis)
-    used = np.maximum(inverse @ demand, 0)
+    basis, inverse = first_patterns(size, lengths, demand)  # column p: pattern p
+    # products without a thread pool, which a driver that has forked cannot count on
+    times = lambda x: np.einsum("ij,j->i", inverse, x)
+    used = np.maximum(times(demand), 0)
     for _ in range(most):
         price = inverse.sum(axis=0)
         worth, column = knapsack(size, lengths, price)
         if worth <= 1 + GAP:  # no solution uses fewer than used.sum() / worth
             break
-        step = inverse @ column
+        step = times(column.astype(float))
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(step > 1e-9, used / step, np.inf)
         out = int(ratio.argmin())
         basis[:, out] = column
         row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
+        inverse -= step[:, None] * row
         inverse[out] = row
-        used = np.maximum(inverse @ demand, 0)
+        used = np.maximum(times(demand), 0)
     return np.rint(basis.T).astype(np.int64), used
 
 

@@ -182,18 +182,18 @@ class Model:
 
 def _fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Logistic line by Newton's steps, slightly held back so that separable votes stay finite."""
-    theta = np.array([0.0, 1.0])
-    design = np.stack([np.ones_like(x), x], 1)
-    held = np.array([1e-3, 1e-3])
+    a, b, held = 0.0, 1.0, 1e-3
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-        gradient = design.T @ (weight * (y - p)) - held * (theta - [0, 1])
-        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag(held)
-        step = np.linalg.solve(hessian, gradient)
-        theta = theta + step
-        if np.abs(step).max() < 1e-9:
+        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
+        error, curve = weight * (y - p), weight * p * (1 - p)
+        ga, gb = error.sum() - held * a, (error * x).sum() - held * (b - 1)
+        aa, ab, bb = curve.sum() + held, (curve * x).sum(), (curve * x * x).sum() + held
+        det = aa * bb - ab * ab
+        da, db = (ga * bb - gb * ab) / det, (gb * aa - ga * ab) / det
+        a, b = a + da, b + db
+        if max(abs(da), abs(db)) < 1e-9:
             break
-    return float(theta[0]), float(theta[1])
+    return float(a), float(b)
 
 
 def score_toxicity(
