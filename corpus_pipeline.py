@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import saved, table
+from loanloom.llm.common import discard, saved, table, taken
 from loanloom.llm.neardup import keep_one
 from loanloom.llm.packing import pack
 from loanloom.llm.quality import keep_quality
@@ -46,12 +47,30 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(kind))
 
 
+_before: list[DataFrame] = []
+
+
+def _stage(function):
+    """``function``, which first removes the working tables of the stage before it: its result is written by now."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(*_before)
+        _before.clear()
+        taken()  # tables of others stay
+        out = function(spark, docs, sf_dir)
+        _before.extend(taken())
+        return out
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("repeated_substrings", repeated_substrings),
-    ("secret_scan", secret_scan),
-    ("packing", packing),
+    ("quality_rules", _stage(quality_rules)),
+    ("near_duplicates", _stage(near_duplicates)),
+    ("repeated_substrings", _stage(repeated_substrings)),
+    ("secret_scan", _stage(secret_scan)),
+    ("packing", _stage(packing)),
 ]
 
 #: Packing solves a linear program, which SQL cannot say.

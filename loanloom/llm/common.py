@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,9 +41,26 @@ def saved(df: DataFrame) -> DataFrame:
     The table stays until :func:`discard` or until the folder's owner cleans it.
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    spark = df.sparkSession
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
+    _written.append(out)
+    # the exchanges behind the table are garbage now; Spark deletes their files
+    # when the driver's collector finds them, which may else be half an hour later
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
+
+
+#: Tables written since the last call of :func:`taken`.
+_written: list[DataFrame] = []
+
+
+def taken() -> list[DataFrame]:
+    """The tables written since the last call."""
+    out = list(_written)
+    _written.clear()
     return out
 
 
@@ -55,6 +72,41 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of a membership map: 2 MB, whatever the number of keys.
+MAP_BITS = 1 << 24
+
+
+def membership(keys: DataFrame):
+    """A broadcast bit map of a table's one column of longs: a key that it lacks is not in the table.
+
+    It spares keys that are surely absent an exchange; the others still need an
+    exact join.  With very many keys it spares less, and nothing else changes.
+    """
+    place = F.pmod(F.col(keys.columns[0]), F.lit(MAP_BITS))
+    bits = (
+        keys.select(F.floor(place / 32768).alias("part"), (place % 32768).alias("bit"))
+        .groupBy("part")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+        .collect()  # MAP_BITS in all
+    )
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in bits:
+        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def perhaps(df: DataFrame, key: str, members, inside: bool = True) -> DataFrame:
+    """Rows whose ``key`` is in a membership map (not in it: ``inside`` False)."""
+    at = df.columns.index(key)
+
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        place = rows.column(at).to_numpy(zero_copy_only=False).astype(np.int64) & (MAP_BITS - 1)
+        held = (members.value[place >> 3] >> (place & 7)) & 1
+        return rows.filter(pa.array(held == inside))
+
+    return by_batch(df, batch, df.schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import by_batch, components, mixed, saved, shingle_hashes, utf8
+from loanloom.llm.common import (
+    by_batch,
+    components,
+    discard,
+    membership,
+    mixed,
+    perhaps,
+    saved,
+    shingle_hashes,
+    utf8,
+)
 
 #: Registers, of which the bands use as many as they fill.
 BUCKET_BITS = 7
@@ -194,7 +204,9 @@ def candidate_clusters(nodes: DataFrame, similarity: float) -> DataFrame:
                         b.append(node[j])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return components(pairs.unionByName(by_batch(work, linked, "a long, b long")))
+    out = saved(components(pairs.unionByName(by_batch(work, linked, "a long, b long"))))
+    discard(banded, groups)
+    return out
 
 
 def exact_links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,29 +240,28 @@ def _linked(docs: DataFrame, percent: int, text: str, ident: str) -> DataFrame:
     nodes = saved(
         sketched.filter("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min("id").alias("least"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
-    )
-    clusters = saved(candidate_clusters(nodes.drop("least"), percent / 100))
+        .agg(F.min("id").alias("least"), F.min(F.xxhash64("id", "digest")).alias("row"),
+             F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
+    )
+    clusters = candidate_clusters(nodes.select("node", "n_shingles", "sketch"), percent / 100)
 
-    # the full sets of the texts in clusters, one text for each node
-    chosen = clusters.select("node", "root").join(nodes.select("node", "least"), "node")
+    # the full sets of the texts in clusters, of one row for each node
+    chosen = clusters.join(nodes.select("node", "row"), "node").select("node", "root", "row")
 
     def full(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, root, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-        for x, n, r in zip(utf8(batch.column(2)), node, root):
+        node, out = [], []
+        for x in utf8(batch.column(1)):
             s = shingle_hashes(x).tobytes()
-            if s and int.from_bytes(xxhash.xxh3_64_digest(s), "big", signed=True) == n:
-                out.append((n, r, s))
-        columns = list(zip(*out)) or [[], [], []]
+            out.append(s)
+            node.append(int.from_bytes(xxhash.xxh3_64_digest(s), "big", signed=True))
         return pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())],
-            ["node", "root", "shingles"],
+            [batch.column(0), pa.array(node, pa.int64()), pa.array(out, pa.binary())], ["row", "node", "shingles"]
         )
 
-    picked = chosen.select(F.col("least").alias("id"), "node", "root")
-    texts = rows.join(picked, rows["id"].eqNullSafe(picked["id"])).select("node", "root", "text")
-    # an id may stand on several rows; one set is kept for each node
-    sets = saved(by_batch(texts, full, "node long, root long, shingles binary").dropDuplicates(["node"]))
+    keyed = rows.filter("text IS NOT NULL").select(F.xxhash64("id", "digest").alias("row"), "text")
+    texts = perhaps(keyed, "row", membership(chosen.select("row")))
+    sets = by_batch(texts, full, "row long, node long, shingles binary").join(chosen, ["row", "node"])
+    sets = saved(sets.dropDuplicates(["node"]).select("node", "root", "shingles"))
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
     work = _blocks(sets, sizes, "root", ["shingles"])
 
@@ -299,15 +310,17 @@ def keep_one(docs: DataFrame, percent: int = 85, text: str = "text", ident: str
     """
     body = F.col(text).cast("string")
     first = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("digest").alias("digest")))
-    stays = (
-        _linked(docs, percent, text, ident)
-        .filter("node IS NOT NULL")
-        .groupBy("root")
-        .agg(first.alias("f"))
-        .select(F.col("f.id").alias("__id"), F.col("f.digest").alias("__digest"))
-    )
+    linked = saved(_linked(docs, percent, text, ident).filter("node IS NOT NULL").select("id", "digest", "root"))
+    stays = linked.groupBy("root").agg(first.alias("f")).select(F.col("f.id").alias("id"), F.col("f.digest").alias("digest"))
+    key = lambda i, d: F.xxhash64(i, d).alias("__row")
+    counted = linked.select(key("id", "digest")).groupBy("__row").agg(F.count("*").alias("n"))
+    staying = stays.select(key("id", "digest"))
+    leaving = counted.join(staying.withColumn("stays", F.lit(True)), "__row", "left").filter("stays IS NULL OR n > 1")
+    marked = docs.withColumn("__row", F.xxhash64(F.col(ident), F.xxhash64(body)))
+    doubtful = membership(leaving.select("__row"))
+    # most rows stay and need no exchange; the others are looked up
+    sure = perhaps(marked, "__row", doubtful, inside=False)
     wordless = F.coalesce(F.btrim(body, F.lit(" \t\n\x0b\x0c\r")) == "", F.lit(True))
-    marked = docs.withColumn("__text", F.xxhash64(body))
-    same = marked[ident].eqNullSafe(stays["__id"]) & (marked["__text"] == stays["__digest"])
-    kept = marked.filter(~wordless).join(stays, same, "left_semi").dropDuplicates([ident, "__text"])
-    return kept.select(*docs.columns).unionByName(docs.filter(wordless))
+    looked_up = perhaps(marked, "__row", doubtful)
+    found = looked_up.filter(~wordless).join(saved(staying), "__row", "left_semi").dropDuplicates(["__row"])
+    return sure.unionByName(found).unionByName(looked_up.filter(wordless)).select(*docs.columns)

@@ -241,6 +241,6 @@ def keep_quality(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error:
     """The rows of ``docs`` that :func:`apply_quality` keeps, with their columns."""
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"))
     measured = with_measures(rows, name="m").select("doc", "m", stratum("doc.lang").alias("stratum"))
-    measured = saved(measured)
-    cutoffs = _cutoffs(measured.select(F.col("doc.doc_id").alias("id"), "stratum", "m.*"), labels, risk, error)
+    # the measures are taken twice, as writing the texts once more would cost more
+    cutoffs = saved(_cutoffs(measured.select(F.col("doc.doc_id").alias("id"), "stratum", "m.*"), labels, risk, error))
     return _with_cutoffs(measured, cutoffs).filter(_reason().isNull()).select("doc.*")

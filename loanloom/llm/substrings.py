@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import by_batch, saved
+from loanloom.llm.common import by_batch, discard, membership, perhaps, saved
 
 LENGTH = 400
 #: Bytes of a piece, a power of two.
@@ -305,7 +305,10 @@ def find_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
         .groupBy("node")  # at most one text's own places
         .agg(F.collect_list(F.struct("rep", "place", "first", "last")).alias("places"))
     )
-    concerned = saved(rows.join(places, "node").dropDuplicates(["node"]).join(copies, "node"))
+    places = saved(places)
+    near = perhaps(rows, "node", membership(places.select("node")))
+    concerned = saved(near.dropDuplicates(["node"]).join(places, "node").join(copies, "node"))
+    discard(marks)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -395,12 +398,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
                 parts.append(x[at:a])
                 at = b
             out.append((node, b"".join([*parts, x[at:]]).decode()))
-        return _table(out, ("row_node", L), ("row_kept", pa.string()))
+        return _table(out, ("__node", L), ("__kept", pa.string()))
 
     found = saved(find_repeats(docs, text, length).select("node", "spans"))
     body = F.col(text).cast("string").cast("binary")
-    texts = docs.select(node_of(text).alias("node"), body.alias("bytes")).join(found, "node").dropDuplicates(["node"])
-    kept = by_batch(texts.select("node", "bytes", "spans"), whole_characters, "row_node long, row_kept string")
-    marked = docs.join(kept, node_of(text) == F.col("row_node"), "left")
-    new = F.when(F.col("row_node").isNull(), docs[text]).otherwise(F.col("row_kept"))
-    return marked.select(*[new.alias(c) if c == text else docs[c] for c in docs.columns])
+    marked = docs.withColumn("__node", node_of(text))
+    concerned = membership(found.select("node"))
+    looked_up = perhaps(marked, "__node", concerned)
+    texts = looked_up.select(F.col("__node").alias("node"), body.alias("bytes")).dropDuplicates(["node"]).join(found, "node")
+    kept = saved(by_batch(texts.select("node", "bytes", "spans"), whole_characters, "__node long, __kept string"))
+    changed = looked_up.join(kept.withColumn("__found", F.lit(True)), "__node", "left")
+    new = F.when(F.col("__found"), F.col("__kept")).otherwise(F.col(text).cast("string"))
+    changed = changed.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
+    return perhaps(marked, "__node", concerned, inside=False).select(*docs.columns).unionByName(changed)
