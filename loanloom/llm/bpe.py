@@ -21,7 +21,7 @@ from loanloom.llm.common import by_batch
 from loanloom.llm.pretokens import split
 
 #: Pre-tokens that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Bits of a heap entry that hold the position.
 POSITION = 32
 
@@ -204,8 +204,8 @@ def round_trip_digests(
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(vocabulary)
         count, coded, decoded = [], [], []
-        for x in rows.column(1).to_pylist():
-            ids = own.encode(x or "")
+        for x in rows.column(1):  # one text at a time
+            ids = own.encode(x.as_py() or "")
             count.append(len(ids))
             coded.append(hashlib.sha256(",".join(map(own.text_of.__getitem__, ids)).encode()).hexdigest())
             decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())

@@ -31,7 +31,7 @@ GAP = 1e-3
 #: and after so many patterns at the latest; the plan is whole and valid at any of them.
 ROUNDS = 400
 #: Pre-tokens that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def knapsack(size: int, lengths: np.ndarray, worth: np.ndarray) -> tuple[float, np.ndarray]:
@@ -234,8 +234,8 @@ def pack(
 
     def cut(rows: pa.RecordBatch) -> pa.RecordBatch:
         own, count, sums = tokens(ranks), [], []
-        for x in rows.column(1).to_pylist():
-            ids = own.ids(x or "") + last
+        for x in rows.column(1):  # one text at a time
+            ids = own.ids(x.as_py() or "") + last
             count.append(len(ids) // 4)
             sums.append([zlib.crc32(ids[a : a + 4 * size]) for a in range(0, len(ids), 4 * size)])
         return pa.RecordBatch.from_arrays(

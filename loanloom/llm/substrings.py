@@ -27,7 +27,7 @@ LENGTH = 400
 #: Bytes of a piece, a power of two.
 PIECE = 128
 #: Bytes of text that are sorted together.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Different segments of one representative beyond which the group is split.
 LARGE = 64
 #: Window starts that a split segment serves.
