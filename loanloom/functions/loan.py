@@ -197,6 +197,8 @@ def round_half_even(x: Column, places: int = 0) -> Column:
 
 
 def fixed_text(x: Column, places: int = 3, suffix: str = "") -> Column:
-    """Fixed-point text; a missing or undefined number prints as ``NaN``."""
-    shown = F.format_string(f"%.{places}f{suffix.replace('%', '%%')}", x)
+    """Fixed-point text, exact ties to the even digit; a missing or undefined number prints as ``NaN``."""
+    scaled = x.cast("double") * float(2 ** (places + 1))  # whole if x may lie half-way; exact
+    rounded = F.when(scaled == F.floor(scaled), F.bround(x.cast("double"), places)).otherwise(x.cast("double"))
+    shown = F.format_string(f"%.{places}f{suffix.replace('%', '%%')}", rounded)
     return F.when(x.isNull() | F.isnan(x), "NaN" + suffix).otherwise(shown)

@@ -100,7 +100,7 @@ def stratified_test_flag(
         F.max(F.when(F.col("n_before") < wanted, F.col("draw"))).alias("draw_limit")
     )
     # One limit per class.
-    flagged = hashed.join(F.broadcast(limits), label)
+    flagged = hashed.join(F.broadcast(limits), label, "left")  # rows without a label stay, untested
     return flagged.withColumn(
         "is_test", F.coalesce(F.col("draw") <= F.col("draw_limit"), F.lit(False))
     ).drop("draw", "draw_limit")

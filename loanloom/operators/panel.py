@@ -114,7 +114,8 @@ def split_by_size(
     span = of_big.groupBy(*keys).agg(F.min(seq).alias("seq_lo"), F.max(seq).alias("seq_hi"))
     blocked = (
         of_big.join(F.broadcast(span), list(keys))
-        .withColumn("seq_block", F.floor(place * BLOCKS_PER_PERIOD))
+        # missing positions sort first, so their block does too
+        .withColumn("seq_block", F.coalesce(F.floor(place * BLOCKS_PER_PERIOD), F.lit(-1)))
         .groupBy(*panel.columns, "seq_block")
         .agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("period_block", F.coalesce("period", F.lit(EARLIEST).cast("date")))

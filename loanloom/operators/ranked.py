@@ -35,7 +35,7 @@ def running_totals(
 
     For every measure m the result has ``m`` (its sum at that value),
     ``m_before`` (its sum over all earlier values) and ``m_total``.  Rows with a
-    missing value are not counted.
+    missing or undefined (NaN) value are not counted.
 
     The distinct values are written to the checkpoint folder when this is called,
     so that ``df`` is computed only once.
@@ -54,7 +54,7 @@ def running_totals(
         return {n + suffix: F.coalesce(F.sum(n).over(w), F.lit(0)) for n in names}
 
     distinct = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*keys, value)
         .agg(*[F.sum(m).alias(n) for n, m in measures.items()])
         .withColumns({"coarse": _bucket(F.col(value), COARSE), "fine": _bucket(F.col(value), FINE)})

@@ -1,6 +1,9 @@
 """Session settings for local runs, and the checkpoint folder."""
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +43,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
-    if not folder and not context.master.startswith("local"):
+    if not folder and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loanloom-checkpoint-"))
     return context.getCheckpointDir()
@@ -54,3 +57,24 @@ def materialized(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application.
+
+    Functions that run in tasks are found by their module's name, which needs
+    the package on every machine; Spark's own file transfer brings it there.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="loanloom-package-"), "loanloom.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f.relative_to(root.parent))
+    context.addPyFile(path)
