@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import by_batch, id_remainder, saved
+from loanloom.llm.common import by_batch, id_remainder, ranges, saved
 
 #: Labelled texts that are learnt from, per class at most.
 EXAMPLES = 4096
@@ -110,35 +110,48 @@ class Index:
         for at, i in enumerate(order):
             for f, w in vectors[i].items():
                 lists[f].append((at, w))
-        self.places = [np.array([p for p, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        for f in range(size):
-            if len(self.places[f]):
-                # rounded up: a bound must not fall below what it bounds
-                np.maximum.at(self.most[f], self.places[f] // BLOCK, (self.weights[f] * (1 + 1e-6)).astype(np.float32))
+        # postings by feature and place; those of feature f in block b end before ``bounds[f, b + 1]``
+        feature = np.repeat(np.arange(size), [len(x) for x in lists])
+        self.place = np.array([p for x in lists for p, _ in x], np.int64)
+        self.weight = np.array([w for x in lists for _, w in x], np.float64)
+        cell = feature * self.blocks + self.place // BLOCK
+        ends = np.searchsorted(cell, np.arange(size * self.blocks + 1)).astype(np.int64)
+        self.bounds = np.lib.stride_tricks.sliding_window_view(ends, self.blocks + 1)[:: self.blocks] if size else None
+        # rounded up: a bound must not fall below what it bounds
+        np.maximum.at(self.most.reshape(-1), cell, (self.weight * (1 + 1e-6)).astype(np.float32))
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the ``k`` nearest examples with a cosine above 0, ties by place."""
-        features = [f for f in query if len(self.places[f])]
-        if not features:
-            return np.empty(0, np.int64), np.empty(0)
-        bound = sum(query[f] * self.most[f] for f in features) * (1 + 1e-5)
+        """Places and cosines of the ``k`` nearest examples with a cosine above 0, ties by place.
+
+        Blocks are visited in runs that double, those with the largest bounds first.
+        """
+        found, cosines = np.empty(0, np.int64), np.empty(0)
+        if not query:
+            return found, cosines
+        features = np.fromiter(query.keys(), np.int64, len(query))
+        weights = np.fromiter(query.values(), np.float64, len(query))
+        bound = (weights.astype(np.float32) @ self.most[features]) * (1 + 1e-4)
         order = np.argsort(-bound, kind="stable")
-        found = np.empty(0, np.int64)
-        cosines = np.empty(0)
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(cosines) >= k and bound[b] < cosines[k - 1]):
+        order = order[bound[order] > 0]
+        bounds = self.bounds[features]
+        at, many = 0, 4
+        while at < len(order):
+            run = order[at : at + many]
+            if len(cosines) >= k:
+                run = run[bound[run] >= cosines[k - 1]]
+            if not len(run):
                 break
-            sums = np.zeros(BLOCK)
-            for f in features:
-                places = self.places[f]
-                lo, hi = np.searchsorted(places, [b * BLOCK, (b + 1) * BLOCK])
-                sums[places[lo:hi] - b * BLOCK] += query[f] * self.weights[f][lo:hi]
-            at = np.flatnonzero(sums > 0)
-            own = at + b * BLOCK
+            at, many = at + many, many * 2
+            starts = bounds[:, run]
+            counts = (bounds[:, run + 1] - starts).ravel()
+            own = ranges(starts.ravel(), counts)
+            # every example's terms are added in the order of the query's features
+            products = np.repeat(weights, counts.reshape(starts.shape).sum(1)) * self.weight[own]
+            sums = np.bincount(self.place[own], weights=products, minlength=len(self.example))
+            held = np.flatnonzero(sums > 0)
             if without >= 0:
-                at, own = at[self.example[own] != without], own[self.example[own] != without]
-            found, cosines = np.concatenate([found, own]), np.concatenate([cosines, sums[at]])
+                held = held[self.example[held] != without]
+            found, cosines = np.concatenate([found, held]), np.concatenate([cosines, sums[held]])
             best = np.lexsort((found, -cosines))[:k]
             found, cosines = found[best], cosines[best]
         return found, cosines
