@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import by_batch, id_remainder, ranges, saved
+from loanloom.llm.common import by_batch, id_remainder, saved
 
 #: Labelled texts that are learnt from, per class at most.
 EXAMPLES = 4096
@@ -31,6 +31,8 @@ FEATURES, LEAST = 4096, 4
 BEGINNINGS = (3, 4, 5, 6)
 #: Neighbours that vote, examples per block of the index, and how votes sharpen with similarity.
 NEIGHBOURS, BLOCK, SHARPNESS = 15, 64, 4.0
+#: Queries answered together, and room for the error of single precision.
+QUERIES, SLACK = 1024, 1e-5
 
 
 def features_of(text: str) -> set[str]:
@@ -98,63 +100,75 @@ class Matcher:
 
 
 class Index:
-    """Examples by feature, in blocks with the largest weight of each feature in each block."""
+    """Examples by feature, in blocks with the largest weight of each feature in each block.
+
+    A block's postings are a small dense table of features by examples, so that
+    all queries that visit it are answered by one product.
+    """
 
     def __init__(self, vectors: list[dict[int, float]], labels: np.ndarray, size: int):
         # alike examples into the same blocks: by their heaviest feature
         order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i].items(), key=lambda x: (x[1], -x[0]), default=(-1, 0))[0], i))
         self.example, self.labels = np.array(order, np.int64), labels[order]
         self.blocks = max(1, -(-len(order) // BLOCK))
-        self.most = np.zeros((size, self.blocks), np.float32)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(size)]
+        self.weights = np.zeros((self.blocks, size, BLOCK), np.float32)
         for at, i in enumerate(order):
             for f, w in vectors[i].items():
-                lists[f].append((at, w))
-        # postings by feature and place; those of feature f in block b end before ``bounds[f, b + 1]``
-        feature = np.repeat(np.arange(size), [len(x) for x in lists])
-        self.place = np.array([p for x in lists for p, _ in x], np.int64)
-        self.weight = np.array([w for x in lists for _, w in x], np.float64)
-        cell = feature * self.blocks + self.place // BLOCK
-        ends = np.searchsorted(cell, np.arange(size * self.blocks + 1)).astype(np.int64)
-        self.bounds = np.lib.stride_tricks.sliding_window_view(ends, self.blocks + 1)[:: self.blocks] if size else None
-        # rounded up: a bound must not fall below what it bounds
-        np.maximum.at(self.most.reshape(-1), cell, (self.weight * (1 + 1e-6)).astype(np.float32))
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the ``k`` nearest examples with a cosine above 0, ties by place.
-
-        Blocks are visited in runs that double, those with the largest bounds first.
+                self.weights[at // BLOCK, f, at % BLOCK] = w
+        self.most = np.ascontiguousarray(self.weights.max(axis=2).T) if size else np.zeros((0, self.blocks), np.float32)
+
+    def nearest(self, queries: list[dict[int, float]], k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query the places and cosines of the ``k`` nearest examples with a cosine above 0, ties by place.
+
+        ``without``: an example that a query must not find.  Each query visits
+        its blocks in runs that double, those with the largest bounds first,
+        until no block left can hold a nearer example.  Products are taken in
+        single precision with room for their error; what may be among the
+        nearest is compared by cosines in double precision.
         """
-        found, cosines = np.empty(0, np.int64), np.empty(0)
-        if not query:
-            return found, cosines
-        features = np.fromiter(query.keys(), np.int64, len(query))
-        weights = np.fromiter(query.values(), np.float64, len(query))
-        bound = (weights.astype(np.float32) @ self.most[features]) * (1 + 1e-4)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        bounds = self.bounds[features]
-        at, many = 0, 4
-        while at < len(order):
-            run = order[at : at + many]
-            if len(cosines) >= k:
-                run = run[bound[run] >= cosines[k - 1]]
-            if not len(run):
+        out = []
+        for low in range(0, len(queries), QUERIES):
+            out += self._nearest(queries[low : low + QUERIES], k, None if without is None else without[low : low + QUERIES])
+        return out
+
+    def _nearest(self, queries, k, without):
+        many = len(queries)
+        table = np.zeros((many, self.most.shape[0]), np.float32)
+        for row, q in zip(table, queries):
+            row[list(q.keys())] = list(q.values())
+        bound = (table @ self.most) * (1 + SLACK) + SLACK
+        order = np.argsort(-bound, axis=1, kind="stable")
+        # cosines so far; a query's own example and places beyond the last stay out
+        cosines = np.zeros((many, self.blocks * BLOCK), np.float32)
+        worst = np.zeros(many, np.float32)
+        at, run = 0, 4
+        while at < self.blocks:
+            asked = np.zeros((many, self.blocks), bool)
+            np.put_along_axis(asked, order[:, at : at + run], True, axis=1)
+            asked &= (bound > SLACK) & (bound >= worst[:, None] - SLACK)
+            if not asked.any():
                 break
-            at, many = at + many, many * 2
-            starts = bounds[:, run]
-            counts = (bounds[:, run + 1] - starts).ravel()
-            own = ranges(starts.ravel(), counts)
-            # every example's terms are added in the order of the query's features
-            products = np.repeat(weights, counts.reshape(starts.shape).sum(1)) * self.weight[own]
-            sums = np.bincount(self.place[own], weights=products, minlength=len(self.example))
-            held = np.flatnonzero(sums > 0)
-            if without >= 0:
-                held = held[self.example[held] != without]
-            found, cosines = np.concatenate([found, held]), np.concatenate([cosines, sums[held]])
-            best = np.lexsort((found, -cosines))[:k]
-            found, cosines = found[best], cosines[best]
-        return found, cosines
+            for b in np.flatnonzero(asked.any(axis=0)).tolist():
+                who = np.flatnonzero(asked[:, b])
+                cosines[who, b * BLOCK : (b + 1) * BLOCK] = table[who] @ self.weights[b]
+            if without is not None:
+                cosines[self.example_at(without)] = 0
+            if cosines.shape[1] > k:
+                worst = np.partition(cosines, -k, axis=1)[:, -k]
+            at, run = at + run, run * 2
+        return [self._exact(q, np.flatnonzero((c > 0) & (c >= w - SLACK)), k) for q, c, w in zip(queries, cosines, worst)]
+
+    def example_at(self, without: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.empty(len(self.example), np.int64)
+        place[self.example] = np.arange(len(self.example))
+        return np.arange(len(without)), place[without]
+
+    def _exact(self, query: dict[int, float], places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        features = np.fromiter(query.keys(), np.int64, len(query))
+        held = self.weights[places[:, None] // BLOCK, features, places[:, None] % BLOCK].astype(np.float64)
+        cosines = held @ np.fromiter(query.values(), np.float64, len(query))
+        best = np.lexsort((places, -cosines))[:k]
+        return places[best], cosines[best]
 
 
 class Model:
@@ -164,9 +178,8 @@ class Model:
         self.features, self.idf, self.prior = features, idf, prior
         vectors = [self.vector(x) for x in examples]
         self.index = Index(vectors, labels, len(features))
-        self.seen: dict[tuple, tuple[float, list[int], list[float]]] = {}
         self.line = (0.0, 1.0)
-        raw = [self.vote(*self.index.nearest(v, NEIGHBOURS, i)) for i, v in enumerate(vectors)]
+        raw = [self.vote(*x) for x in self.index.nearest(vectors, NEIGHBOURS, np.arange(len(vectors)))]
         self.line = _fitted(np.array(raw), labels, weights)
 
     def vector(self, counts: Counter) -> dict[int, float]:
@@ -181,16 +194,17 @@ class Model:
         clean = float((weight * (1 - self.index.labels[places])).sum()) + 1 - self.prior
         return math.log(toxic / clean)
 
-    def score(self, counts: Counter) -> tuple[float, list[int], list[float]]:
-        key = tuple(sorted(counts.items()))
-        if key not in self.seen:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            places, cosines = self.index.nearest(self.vector(counts), NEIGHBOURS)
-            a, b = self.line
+    def score(self, texts: list[Counter]) -> list[tuple[float, list[int], list[float]]]:
+        """Of each text: score, nearest examples and cosines; equal counts are looked up once."""
+        keys = [tuple(sorted(x.items())) for x in texts]
+        different = list(dict.fromkeys(keys))
+        found = self.index.nearest([self.vector(dict(x)) for x in different], NEIGHBOURS)
+        a, b = self.line
+        seen = {}
+        for key, (places, cosines) in zip(different, found):
             score = 1 / (1 + math.exp(-(a + b * self.vote(places, cosines))))
-            self.seen[key] = score, self.index.example[places].tolist(), cosines.tolist()
-        return self.seen[key]
+            seen[key] = score, self.index.example[places].tolist(), cosines.tolist()
+        return [seen[x] for x in keys]
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -280,7 +294,7 @@ def score_toxicity(
 
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, names = shared.value
-        out = [own.score(Counter(dict(zip(f, c)))) for f, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        out = own.score([Counter(dict(zip(f, c))) for f, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())])
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([x[0] for x in out], pa.float64()),
              pa.array([[names[i] for i in x[1]] for x in out], id_type),

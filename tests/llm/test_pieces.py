@@ -131,7 +131,7 @@ def test_index_is_exact():
     for _ in range(40):
         query = {f: rng.random() for f in rng.sample(range(40), 4)}
         want = sorted((sum(w * v.get(f, 0) for f, w in query.items()) for v in vectors), reverse=True)[:15]
-        assert np.allclose(index.nearest(query, 15)[1], want)
+        assert np.allclose(index.nearest([query], 15)[0][1], want, atol=1e-6)
 
 
 def test_mix_does_not_depend_on_neighbours_and_beats_uniform():
