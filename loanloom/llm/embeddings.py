@@ -4,9 +4,11 @@ A neighbour graph begins with the best neighbours inside buckets of random
 hyperplanes and is refined: the neighbours of each vector, in both directions,
 are compared with each other, and better neighbours replace worse.  A list
 that holds nothing below the threshold is saturated and doubles its length.
-Edges above the threshold join vectors into components; inside a component
-every pair is compared in double precision, block by block, so that lists which
-were still too short lose nothing.  A query set compared with all vectors
+Edges above the threshold join vectors into components.  Where lists were ever
+saturated a link may have found no room, so components with such lists are
+compared with each other: centre with centre, and where threshold and radii let
+them meet, member with member.  Inside a component every pair is compared in
+double precision, block by block.  A query set compared with all vectors
 audits the recall, and the refinement goes on until it is good enough.
 """
 
@@ -15,14 +17,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanloom.llm.common import by_batch, components, saved
 from loanloom.llm.neardup import _spanning
 
-#: Length of a neighbour list, and how far a saturated one grows.
+#: Length of a neighbour list, and how far a saturated one grows; beyond that :func:`merged` finds the links.
 NEIGHBOURS, MOST_NEIGHBOURS = 8, 32
+#: Edges that a neighbourhood gives a member in any case, and what single precision may be off by.
+FEW, SLACK = 4, 1e-4
 #: Hyperplane tables, vectors of a bucket on average, and of a block at most.
 TABLES, BUCKET, BLOCK = 6, 64, 512
 #: Refinements before the first audit, and in all.
@@ -140,18 +144,24 @@ def _lists(edges: DataFrame, lengths: DataFrame | None, threshold: float) -> Dat
     return cut.select("a", longer.alias("length"), F.inline("best"))
 
 
-def refined(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """New edges found among the neighbours of each vector, in either direction."""
-    both = edges.select("a", "b", "cosine").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+def refined(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """New edges found among the neighbours of each vector, in either direction.
+
+    Each member of a neighbourhood gets its best few others there, and as many
+    above the threshold as a list holds that was never saturated.
+    """
+    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine", F.lit(NEIGHBOURS).alias("length"))
+    both = edges.select("a", "b", "cosine", "length").union(back)
     around = (
         both.groupBy("a")
-        .agg(F.slice(F.sort_array(F.collect_set(F.struct("cosine", "b")), False), 1, 2 * NEIGHBOURS).alias("best"))
+        .agg(F.sort_array(F.collect_set(F.struct("cosine", "b")), False).alias("best"), F.max("length").alias("length"))
+        .select("a", F.expr("slice(best, 1, 2 * length)").alias("best"))
         .select("a", F.explode(F.array_union("best.b", F.array("a"))).alias("node"))
     )
     work = (
         around.join(nodes.select("node", "vector"), "node")
         .groupBy("a")
-        .agg(F.collect_list(F.struct("node", "vector")).alias("members"))  # 2 * NEIGHBOURS + 1 at most
+        .agg(F.collect_list(F.struct("node", "vector")).alias("members"))  # 2 * MOST_NEIGHBOURS + 1 at most
         .filter(F.size("members") > 2)
         .select("members")
     )
@@ -160,31 +170,115 @@ def refined(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         a, b, c = [], [], []
         for members in rows.column(0).to_pylist():
             node = np.array([m["node"] for m in members])
-            row, other, sims = _best(_matrix(members, np.float32), 4)
-            a.append(node[row])
-            b.append(node[other])
-            c.append(sims)
+            row, other, sims = _best(_matrix(members, np.float32), NEIGHBOURS)
+            each = sims.reshape(len(node), -1)
+            few = min(FEW, each.shape[1])
+            kept = (each >= np.minimum(-np.partition(-each, few - 1, axis=1)[:, few - 1 : few], threshold - SLACK)).ravel()
+            a.append(node[row[kept]])
+            b.append(node[other[kept]])
+            c.append(sims[kept])
         join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
         return _rows("a b cosine", [L, L, D], [join(a, np.int64), join(b, np.int64), join(c, float)])
 
     return by_batch(work, near, "a long, b long, cosine double")
 
 
+def _paired(many, own) -> Column:
+    """All pairs of blocks ``(i, j)``, i up to j, that hold block ``own`` of ``many``."""
+    return F.transform(
+        F.sequence(F.lit(0).cast("long"), many - 1),
+        lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")),
+    )
+
+
+def merged(clusters: DataFrame, full: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``clusters`` (node, root), where those joined by a link that no list had room for are one.
+
+    A list never saturated has kept every link that was ever compared, so only
+    clusters with nodes of ``full`` can hold such a link, both its ends in them.
+    A cluster's centre is its smallest node, its radius the largest angle to a
+    member; clusters farther apart than their radii and the threshold's angle
+    share no link.  The others are compared exactly, block by block.
+    """
+    crowded = clusters.join(full, "node").select("root").distinct()
+    members = saved(clusters.join(crowded, "root").join(nodes.select("node", "vector"), "node").select("root", "node", "vector"))
+    centres = members.groupBy("root").agg(F.min(F.struct("node", "vector"))["vector"].alias("centre"), F.count("*").alias("n"))
+
+    def angles(rows: pa.RecordBatch) -> pa.RecordBatch:
+        cosine = [float(np.frombuffer(v) @ np.frombuffer(c)) for v, c in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist())]
+        return _rows("root angle", [L, D], [rows.column(0), np.arccos(np.clip(cosine, -1, 1))])
+
+    centres = saved(centres)
+    radii = by_batch(members.select("root", "vector").join(centres.select("root", "centre"), "root"), angles, "root long, angle double")
+    centres = centres.join(radii.groupBy("root").agg(F.max("angle").alias("radius")), "root")
+    many = max(1, -(-members.select("root").distinct().count() // BLOCK))
+    own = F.pmod(F.xxhash64("root"), F.lit(many).cast("long"))
+    work = (
+        centres.select(
+            F.length("centre").alias("size"), F.explode(_paired(F.lit(many).cast("long"), own)).alias("pair"),
+            F.struct(F.col("root").alias("node"), F.col("centre").alias("vector"), "radius", "n", own.alias("block")).alias("member"),
+        )
+        .groupBy("size", "pair")
+        .agg(F.collect_list("member").alias("members"))  # two blocks at most
+        .select("pair", "members")
+    )
+
+    def within_reach(rows: pa.RecordBatch) -> pa.RecordBatch:
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for pair, own in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            x = _matrix(own, np.float64)
+            radius, block = np.array([m["radius"] for m in own]), np.array([m["block"] for m in own])
+            reach = np.arccos(threshold) + radius[:, None] + radius[None, :] + 1e-6
+            meets = np.triu(np.arccos(np.clip(x @ x.T, -1, 1)) <= reach, 1)
+            if pair["i"] != pair["j"]:
+                meets &= block[:, None] != block[None, :]
+            for i, j in zip(*(k.tolist() for k in np.nonzero(meets))):
+                for column, value in zip(out, (own[i]["node"], own[j]["node"], -(-own[i]["n"] // BLOCK), -(-own[j]["n"] // BLOCK))):
+                    column.append(value)
+        return _rows("p q many_p many_q", [L, L, L, L], list(out))
+
+    near = saved(by_batch(work, within_reach, "p long, q long, many_p long, many_q long"))
+
+    def side(this: str, i: str, other: str, j: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("node"), F.col(f"many_{this}")).alias(i)
+        others = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"many_{other}") - 1)).alias(j)
+        of = near.join(members.withColumnRenamed("root", this), this).select("p", "q", block, others, "vector")
+        return of.select("p", "q", "i", "j", F.struct(F.lit(this).alias("of"), "vector").alias("member"))
+
+    facing = (
+        side("p", "i", "q", "j")
+        .union(side("q", "j", "p", "i"))
+        .groupBy("p", "q", "i", "j")
+        .agg(F.collect_list("member").alias("members"))  # a block of each at most
+        .select("p", "q", "members")
+    )
+
+    def meet(rows: pa.RecordBatch) -> pa.RecordBatch:
+        hit = []
+        for own in rows.column(2).to_pylist():
+            x = [_matrix([m for m in own if m["of"] == of], np.float64) if any(m["of"] == of for m in own) else None for of in "pq"]
+            hit.append(x[0] is not None and x[1] is not None and bool((x[0] @ x[1].T >= threshold).any()))
+        return rows.select([0, 1]).filter(pa.array(hit, pa.bool_()))
+
+    links = saved(by_batch(facing, meet, "p long, q long").distinct())
+    if links.isEmpty():
+        return clusters
+    roots = components(links, "p", "q").select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return saved(clusters.join(roots, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+
+
 def exact_links(edges: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """``(node, n_links)`` and ``(node, root)`` from all pairs inside the components of ``edges``."""
-    near = edges.filter(F.col("cosine") >= threshold - 1e-4).select("a", "b")  # single precision so far
-    clusters = saved(components(near))
+    near = edges.filter(F.col("cosine") >= threshold - SLACK).select("a", "b")  # single precision so far
+    full = edges.filter(F.col("length") > NEIGHBOURS).select(F.col("a").alias("node")).distinct()
+    clusters = merged(saved(components(near)), full, nodes, threshold)
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
     many = F.ceil(F.col("n") / BLOCK).cast("long")
     own = F.pmod(F.xxhash64("node"), many)
-    pairs = F.transform(
-        F.sequence(F.lit(0).cast("long"), many - 1),
-        lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")),
-    )
     work = (
         clusters.join(sizes, "root")
         .join(nodes, "node")
-        .select("root", "node", "vector", "copies", own.alias("block"), F.explode(pairs).alias("pair"))
+        .select("root", "node", "vector", "copies", own.alias("block"), F.explode(_paired(many, own)).alias("pair"))
         .groupBy("root", "pair")
         .agg(F.collect_list(F.struct("node", "vector", "copies", "block")).alias("members"))  # two blocks at most
         .select("pair", "members")
@@ -271,7 +365,7 @@ def link_vectors(
     done = 0
     while True:
         for _ in range(ROUNDS):
-            found = refined(edges, nodes)
+            found = refined(edges, nodes, threshold)
             edges = saved(_lists(edges.select("a", "b", "cosine").union(found), edges.select("a", "length").distinct(), threshold))
             done += 1
         links, roots = exact_links(edges, nodes, threshold)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +113,20 @@ def test_vectors(spark):
     assert embeddings.link_vectors(table.limit(0)).count() == 0
 
 
+def test_links_between_dense_groups(spark):
+    rng = np.random.default_rng(8)
+    first, aside = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    second = 0.965 * first + np.sqrt(1 - 0.965**2) * aside
+    x = np.concatenate([c + 0.004 * rng.standard_normal((60, 64)) for c in (first, second)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert true.mean() > 110
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r for r in embeddings.link_vectors(table).collect()}
+    assert [found[i].n_links for i in range(120)] == true.tolist()
+    assert {r.component_id for r in found.values()} == {0}
+
+
 def test_packing_covers_every_row(docs):
     rows = packing.pack(docs, RANKS).collect()
     by = {}
