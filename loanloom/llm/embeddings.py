@@ -8,8 +8,10 @@ Edges above the threshold join vectors into components.  Where lists were ever
 saturated a link may have found no room, so components with such lists are
 compared with each other: centre with centre, and where threshold and radii let
 them meet, member with member.  Inside a component every pair is compared in
-double precision, block by block.  A query set compared with all vectors
-audits the recall, and the refinement goes on until it is good enough.
+double precision, block by block.  The vectors
+whose ids 100 divides are compared with all others to audit the recall, more of
+them where these have too few links to tell.  The refinement goes on until the
+recall is good enough; if it does not get there, all pairs are compared.
 """
 
 from __future__ import annotations
@@ -27,12 +29,16 @@ from loanloom.llm.neardup import _spanning
 NEIGHBOURS, MOST_NEIGHBOURS = 8, 32
 #: Edges that a neighbourhood gives a member in any case, and what single precision may be off by.
 FEW, SLACK = 4, 1e-4
-#: Hyperplane tables, vectors of a bucket on average, and of a block at most.
+#: Hyperplane tables at least, vectors of a bucket on average, and of a block at most.
 TABLES, BUCKET, BLOCK = 6, 64, 512
+#: Share of the pairs at the threshold that shall share a first bucket: tables are added until they do.
+SHARED = 0.9
 #: Refinements before the first audit, and in all.
 ROUNDS, MOST_ROUNDS = 2, 8
-#: Vectors that the audit compares with all others, and the recall that it asks for.
-AUDITED, RECALL = 256, 0.99
+#: The audit's queries are the ids that this divides, the links that make it conclusive, the recall that it asks for.
+QUERIES, TELLING, RECALL = 100, 50, 0.99
+#: Vectors in a row of the audit's join.
+ROWS = 2048
 SEED = 20_240_611
 
 
@@ -82,9 +88,16 @@ def _best(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return row, other, sims[row, other].astype(np.float64)
 
 
-def first_graph(nodes: DataFrame, total: int) -> DataFrame:
+def tables(bits: int, threshold: float) -> int:
+    """How many tables of ``bits`` hyperplanes let a pair at the threshold share a bucket with probability SHARED."""
+    same = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return TABLES if same == 1 else max(TABLES, int(np.ceil(np.log(1 - SHARED) / np.log1p(-same))))
+
+
+def first_graph(nodes: DataFrame, total: int, threshold: float) -> DataFrame:
     """Edges ``(a, b, cosine)`` to the best vectors in the same bucket of each table."""
     bits = max(0, int(np.ceil(np.log2(max(1, total) / BUCKET))))
+    many = tables(bits, threshold)
 
     def buckets(rows: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[list, list, list] = ([], [], [])
@@ -95,11 +108,11 @@ def first_graph(nodes: DataFrame, total: int) -> DataFrame:
             by_size.setdefault(len(v), []).append(i)
         for size, at in by_size.items():
             if size not in planes:
-                planes[size] = np.random.default_rng(SEED).standard_normal((size // 8, TABLES * bits))
+                planes[size] = np.random.default_rng(SEED).standard_normal((size // 8, many * bits))
             x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1)
-            sign = (x @ planes[size] > 0).reshape(len(at), TABLES, bits)
-            code = (sign * (1 << np.arange(bits))).sum(axis=2) if bits else np.zeros((len(at), TABLES), np.int64)
-            for t in range(TABLES):
+            sign = (x @ planes[size] > 0).reshape(len(at), many, bits)
+            code = (sign * (1 << np.arange(bits))).sum(axis=2) if bits else np.zeros((len(at), many), np.int64)
+            for t in range(many):
                 out[0].extend([f"{t}/{size}/{c}" for c in code[:, t].tolist()])
                 out[1].extend(node[i] for i in at)
                 out[2].extend(raw[i] for i in at)
@@ -271,7 +284,11 @@ def exact_links(edges: DataFrame, nodes: DataFrame, threshold: float) -> tuple[D
     """``(node, n_links)`` and ``(node, root)`` from all pairs inside the components of ``edges``."""
     near = edges.filter(F.col("cosine") >= threshold - SLACK).select("a", "b")  # single precision so far
     full = edges.filter(F.col("length") > NEIGHBOURS).select(F.col("a").alias("node")).distinct()
-    clusters = merged(saved(components(near)), full, nodes, threshold)
+    return links_inside(merged(saved(components(near)), full, nodes, threshold), nodes, threshold)
+
+
+def links_inside(clusters: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``(node, n_links)`` and ``(node, root)`` from all pairs inside the ``clusters`` (node, root)."""
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
     many = F.ceil(F.col("n") / BLOCK).cast("long")
     own = F.pmod(F.xxhash64("node"), many)
@@ -310,29 +327,49 @@ def exact_links(edges: DataFrame, nodes: DataFrame, threshold: float) -> tuple[D
     return saved(links), saved(components(found.filter("b IS NOT NULL").select("a", "b")))
 
 
-def audit(nodes: DataFrame, links: DataFrame, chosen: list, threshold: float) -> float:
-    """The share of the audited vectors' true links that ``links`` has.  ``chosen``: rows of nodes, bounded."""
-    if not chosen:
-        return 1.0
-    by_size: dict[int, tuple[list[int], np.ndarray]] = {}
-    for size in {len(r.vector) for r in chosen}:
-        own = [r for r in chosen if len(r.vector) == size]
-        by_size[size] = [r.node for r in own], np.frombuffer(b"".join(bytes(r.vector) for r in own), np.float64).reshape(len(own), -1)
+def _blocks(nodes: DataFrame, many: int, salt: int) -> DataFrame:
+    """``(size, block, members)``: the vectors of each length dealt to ``many`` blocks."""
+    block = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(many))
+    member = F.struct("node", "vector", "copies")
+    return nodes.groupBy(F.length("vector").alias("size"), block.alias("block")).agg(F.collect_list(member).alias("members"))
+
+
+def true_links(queries: DataFrame, nodes: DataFrame, threshold: float, n_queries: int, total: int) -> DataFrame:
+    """``(node, n)``: the links of every query that has any, from all pairs of a query and a node."""
+    ours = saved(_blocks(queries, -(-n_queries // BLOCK) or 1, 1).withColumnRenamed("members", "queries").drop("block"))
+    all_nodes = saved(_blocks(nodes, -(-total // ROWS) or 1, 2).drop("block"))
+    # a row is a block on either side; the join makes one row for each pair of blocks
+    work = all_nodes.join(ours, "size").select("queries", "members")
 
     def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
-        raw, node, copies = (rows.column(k).to_pylist() for k in range(3))
-        total: dict[int, int] = {}
-        for size, (queries, q) in by_size.items():
-            at = [i for i, v in enumerate(raw) if len(v) == size]
-            if at:
-                x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1)
-                close = q @ x.T >= threshold
-                close &= np.array(queries)[:, None] != np.array([node[i] for i in at])[None, :]
-                for k, n in zip(queries, (close @ np.array([copies[i] for i in at], np.int64)).tolist()):
-                    total[k] = total.get(k, 0) + n
-        return _rows("node n", [L, L], [list(total), list(total.values())])
-
-    true = by_batch(nodes.select("vector", "node", "copies"), compare, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+        node, n = [], []
+        for k in range(rows.num_rows):
+            own, others = (rows.column(c)[k].as_py() for c in range(2))
+            close = _matrix(own, np.float64) @ _matrix(others, np.float64).T >= threshold
+            close &= np.array([m["node"] for m in own])[:, None] != np.array([m["node"] for m in others])[None, :]
+            links = close @ np.array([m["copies"] for m in others], np.int64)
+            at = np.flatnonzero(links).tolist()
+            node += [own[i]["node"] for i in at]
+            n += links[at].tolist()
+        return _rows("node n", [L, L], [node, n])
+
+    return saved(by_batch(work, compare, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")))
+
+
+def audited(nodes: DataFrame, total: int, threshold: float) -> DataFrame:
+    """The true links of the ids that QUERIES divides; of ten times as many until they tell, at last of all."""
+    step, rest = QUERIES, F.pmod(F.coalesce(F.expr("try_cast(least AS bigint)"), F.col("node")), F.lit(QUERIES))
+    while True:
+        queries = nodes.filter(rest < QUERIES // step)
+        n_queries = queries.count()
+        true = true_links(queries, nodes, threshold, n_queries, total)
+        if n_queries == total or (true.agg(F.sum("n")).first()[0] or 0) >= TELLING:
+            return true
+        step = max(1, step // 10)
+
+
+def recall(true: DataFrame, links: DataFrame) -> float:
+    """The share of the true links of the audit's queries that ``links`` has; 1 if they have none."""
     sums = (
         true.join(links, "node", "left")
         .agg(F.sum("n").alias("true"), F.sum(F.least("n", F.coalesce("n_links", F.lit(0)))).alias("found"))
@@ -341,6 +378,12 @@ def audit(nodes: DataFrame, links: DataFrame, chosen: list, threshold: float) ->
     return 1.0 if not sums.true else sums.found / sums.true
 
 
+def all_pairs(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """What :func:`exact_links` gives, from all pairs of nodes of equal length: the way out if no refinement suffices."""
+    one = nodes.withColumn("root", F.length("vector").cast("long")).select("node", "root")
+    return links_inside(saved(one), nodes, threshold)
+
+
 def link_vectors(
     vectors: DataFrame, threshold: float = 0.95, ident: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
@@ -359,9 +402,8 @@ def link_vectors(
         .agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.min("vector").alias("vector"))
     )
     total = nodes.count()
-    audited = nodes.filter(F.expr("try_cast(least AS bigint) % 100 = 0")).orderBy(F.xxhash64("node")).limit(AUDITED)
-    chosen = audited.select("node", "vector").collect()
-    edges = saved(_lists(first_graph(nodes, total), None, threshold))
+    true = audited(nodes, total, threshold)
+    edges = saved(_lists(first_graph(nodes, total, threshold), None, threshold))
     done = 0
     while True:
         for _ in range(ROUNDS):
@@ -369,7 +411,10 @@ def link_vectors(
             edges = saved(_lists(edges.select("a", "b", "cosine").union(found), edges.select("a", "length").distinct(), threshold))
             done += 1
         links, roots = exact_links(edges, nodes, threshold)
-        if done >= MOST_ROUNDS or audit(nodes, links, chosen, threshold) >= RECALL:
+        if recall(true, links) >= RECALL:
+            break
+        if done >= MOST_ROUNDS:
+            links, roots = all_pairs(nodes, threshold)
             break
     owner = nodes.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = owner.groupBy("root").agg(F.min("least").alias("component_id"))

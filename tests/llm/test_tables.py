@@ -127,6 +127,25 @@ def test_links_between_dense_groups(spark):
     assert {r.component_id for r in found.values()} == {0}
 
 
+def test_recall_binds_where_few_vectors_have_links(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((300, 32))
+    x[7], x[211] = x[150], x[33]
+    x[7, 0] += 0.5
+    x[211, 0] += 0.5
+    none = embeddings._lists(spark.createDataFrame([], "a long, b long, cosine double"), None, 0.95)
+    monkeypatch.setattr(embeddings, "first_graph", lambda *_: none.select("a", "b", "cosine"))  # a graph that finds nothing
+    monkeypatch.setattr(embeddings, "MOST_ROUNDS", 2)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r for r in embeddings.link_vectors(table).collect()}
+    assert {i: r.component_id for i, r in found.items() if r.n_links} == {7: 7, 150: 7, 33: 33, 211: 33}
+
+
+def test_tables_grow_with_the_hyperplanes():
+    same = 1 - np.arccos(0.95) / np.pi
+    assert all(1 - (1 - same**bits) ** embeddings.tables(bits, 0.95) >= 0.9 for bits in range(30))
+
+
 def test_packing_covers_every_row(docs):
     rows = packing.pack(docs, RANKS).collect()
     by = {}
