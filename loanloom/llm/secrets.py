@@ -45,7 +45,14 @@ BASE = (
     Rule("hex", r"[0-9a-f]{32,}"),
 )
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    # up to the END line; where that is missing, up to the end of the base64 lines
+    Rule(
+        "private_key",
+        r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+        r"(?:(?:[^-]|-(?!----(?:BEGIN|END)\x20))*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+        r"|(?:\s*(?:Proc-Type|DEK-Info):[^\n]*)*(?:(?:\\[nrt]|[\s\"',>#*])*[A-Za-z0-9+/]{16,}={0,2})*"
+        r"(?:(?<=[A-Za-z0-9+/]{16})(?:\\[nrt]|[\s\"',>#*]){1,8}[A-Za-z0-9+/]+={0,2})?)",
+    ),
     Rule("github", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b"),
     Rule("gitlab", r"\bglpat-[A-Za-z0-9_-]{20,}"),
     Rule("slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -54,7 +61,7 @@ MORE = (
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("npm", r"\bnpm_[A-Za-z0-9]{36}\b"),
     Rule("sendgrid", r"\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
-    Rule("url_login", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@[A-Za-z0-9.-]+"),
+    Rule("url_login", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:[^\s/:@]{3,}+@[A-Za-z0-9.-]+"),
 )
 RULES = BASE + MORE
 
