@@ -1,7 +1,7 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
-A text that holds one of the gate's keywords is reduced to its words.  Its
-words select the rules whose keyword they hold, only those regexes run on it,
+A text that passes the gate is reduced to its words.  These select the rules
+whose keyword begins one of them, only those regexes run on it,
 and of overlapping detections the ones that lie within another are suppressed:
 the longer interval stays, and of equal intervals the rule of higher priority.
 """
@@ -17,11 +17,6 @@ from loanloom.llm.common import saved
 
 #: Everything that is no letter, digit or character beyond ASCII, in raw text.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-#: A text without any of these holds no phrase of any rule.
-GATE = (
-    r"(?i)licen[sc]|spdx|gpl|copyleft|public" + GAP + r"+domain|cc0|cc" + GAP + r"+(?:by|0)"
-    r"|creative" + GAP + r"+commons|wtfpl|beerware"
-)
 #: Phrase and label of the base.
 BASE = (
     ("gnu general public license", "gpl"),
@@ -43,7 +38,8 @@ LICENSES = (
     ("mit", "mit", "mit licen[sc]e", ()),
     ("mit", "expat", "expat licen[sc]e", ()),
     ("x11", "x11", "x11 licen[sc]e", ()),
-    ("bsd", "bsd", "(?:berkeley software distribution|bsd) licen[sc]e", ()),
+    ("bsd", "berkeley", "berkeley software distribution licen[sc]e", ()),
+    ("bsd", "bsd", "bsd licen[sc]e", ()),
     ("bsd-2-clause", "bsd", "(?:simplified bsd licen[sc]e|2 clause bsd licen[sc]e|bsd 2 clause)", ()),
     ("bsd-3-clause", "bsd", "(?:(?:new|modified|revised|3 clause) bsd licen[sc]e|bsd 3 clause)", ()),
     ("isc", "isc", "isc licen[sc]e", ()),
@@ -125,6 +121,13 @@ def signatures() -> list[Rule]:
     return out
 
 
+def gate() -> str:
+    """A text without a match of this holds no phrase of any rule: all others hold ``licen[sc]``."""
+    free = sorted({name for _, _, name, _ in LICENSES if not name.endswith("licen[sc]e")} | {x for x, _ in BASE if "license" not in x})
+    raw = (x.replace(" ?", GAP + "*").replace(" ", GAP + "+") for x in free)
+    return f"(?i)licen[sc]|(?:^|{GAP})(?:{'|'.join(raw)})"
+
+
 def _rule_table(spark: SparkSession) -> DataFrame:
     rows = [(k, r.label, r.keyword, f"(?<= )(?:{r.regex})(?= )", r.priority, r.weight, r.base)
             for k, r in enumerate(signatures())]
@@ -155,12 +158,13 @@ def scan_licenses(docs: DataFrame, text: str = "text", ident: str = "doc_id") ->
             F.monotonically_increasing_id().alias("row"),  # fixed from here on, as the table is written
             F.col(ident).alias("id"),
             F.when(body == "", 0).otherwise(F.size(F.split(body, GAP + "+")) - ends).cast("long").alias("n_words"),
-            F.when(body.rlike(GATE), F.regexp_replace(spaced, "^ +| +$", " ")).alias("spaced"),
+            F.when(body.rlike(gate()), F.regexp_replace(spaced, "^ +| +$", " ")).alias("spaced"),
         )
     )
     rules = _rule_table(docs.sparkSession)
     keywords = sorted({r.keyword for r in signatures()})
-    held = F.array_intersect(F.split("spaced", " "), F.array(*map(F.lit, keywords)))
+    # a version may be joined to the keyword, which then only begins the word
+    held = F.array_compact(F.array(*(F.when(F.contains("spaced", F.lit(f" {k}")), F.lit(k)) for k in keywords)))
     tried = (
         rows.filter("spaced IS NOT NULL")
         .select("row", "spaced", F.explode(held).alias("keyword"))

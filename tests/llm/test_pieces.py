@@ -1,6 +1,7 @@
 """Parts of the operators that need no Spark, against plain definitions."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 import regex
 import tiktoken
 
-from loanloom.llm import bpe, lm, neardup, packing, pretokens, secrets, substrings, toxicity
+from loanloom.llm import bpe, licenses, lm, neardup, packing, pretokens, secrets, substrings, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -141,6 +142,39 @@ def test_whole_keys_and_long_logins_are_masked():
         assert secrets.masked(x, found, "*") == cases[x]
 
 
+def _samples(parts):
+    """Texts that a regex matches: each branch, and repeats at their least and most."""
+    out = [""]
+    for op, arg in parts:
+        name = str(op)
+        if name == "LITERAL":
+            each = [chr(arg)]
+        elif name == "IN":
+            each = [chr(a) for _, a in arg]
+        elif name == "SUBPATTERN":
+            each = _samples(arg[-1])
+        elif name == "BRANCH":
+            each = [x for branch in arg[1] for x in _samples(branch)]
+        elif name == "ASSERT_NOT":
+            each = [""]
+        else:
+            assert name == "MAX_REPEAT"
+            one = _samples(arg[2])
+            each = [x * k for x in one for k in {arg[0], min(arg[1], arg[0] + 1)}]
+        out = [a + b for a in out for b in each]
+    return out
+
+
+def test_every_licence_rule_passes_both_filters():
+    gate = re.compile(licenses.gate())
+    for rule in licenses.signatures():
+        samples = _samples(re._parser.parse(rule.regex))
+        for x in samples:
+            assert re.fullmatch(rule.regex, x) and f" {rule.keyword}" in f" {x}", (rule, x)
+            assert gate.search(x) and gate.search(f"See {x.upper().replace(' ', '-')}."), (rule, x)
+    assert not gate.search("a simple example of bsd, zero cc, the public's domain")
+
+
 def test_index_is_exact():
     rng = random.Random(9)
     vectors = [{f: rng.random() for f in rng.sample(range(40), 5)} for _ in range(300)]

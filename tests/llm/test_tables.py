@@ -101,6 +101,16 @@ def test_licenses_and_secrets(docs):
     assert masked[12].endswith("2.0. [secret]\"") and masked[3] is None
 
 
+def test_licence_spellings(spark):
+    cases = {
+        "Released under GPLv3": "gpl-3", "LGPLv2.1": "lgpl-2.1", "AGPLv3": "agpl-3", "WTFPLv2": "wtfpl-2", "Released under the MPL 2.0": "mpl-2.0",
+        "under EUPL 1.2": "eupl-1.2", "BSD-3-Clause": "bsd-3-clause", "CC Zero": "cc0", "an example of simple words": "",
+    }
+    table = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    found = {r.doc_id: r.labels for r in licenses.scan_licenses(table).collect()}
+    assert {x: found[i] for i, x in enumerate(cases)} == cases
+
+
 def test_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.01]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]),
             (6, [1.0, None]), (7, [0.0, 1.0]), (None, [1.0, 0.0]), (9, []), (10, [1.0, 0.0, 0.0])]
