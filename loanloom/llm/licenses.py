@@ -87,6 +87,50 @@ LICENSES = (
     ("cc-by-nc", "creative", "creative commons attribution non ?commercial", ("2 0", "2 5", "3 0", "4 0")),
     ("public-domain", "domain", "(?:in|into|to) the public domain", ()),
 )
+#: Label, SPDX identifier as words where it is no name of the list above, versions that have labels of their own.
+IDENTIFIERS = (
+    ("gfdl", "gfdl", ("1 1", "1 2", "1 3")),
+    ("apache", "apache", ("1 0", "1 1", "2 0")),
+    ("mit", "mit(?! 0)", ()),
+    ("x11", "x11", ()),
+    ("isc", "isc", ()),
+    ("epl", "epl", ("1 0", "2 0")),
+    ("cddl", "cddl", ("1 0", "1 1")),
+    ("cpl", "cpl", ("1 0",)),
+    ("ipl", "ipl", ("1 0",)),
+    ("artistic", "artistic", ("1 0", "2 0")),
+    ("zlib", "zlib", ()),
+    ("libpng", "libpng", ("2 0",)),
+    ("bsl", "bsl", ("1 0",)),
+    ("beerware", "beerware", ()),
+    ("python", "(?:python|psf)", ("2 0",)),
+    ("php", "php", ("3 0", "3 01")),
+    ("ruby", "ruby", ()),
+    ("openssl", "openssl", ()),
+    ("postgresql", "postgresql", ()),
+    ("w3c", "w3c", ()),
+    ("ms-pl", "ms pl", ()),
+    ("ms-rl", "ms rl", ()),
+    ("osl", "osl", ("1 0", "2 0", "2 1", "3 0")),
+    ("afl", "afl", ("1 1", "2 0", "2 1", "3 0")),
+    ("ncsa", "ncsa", ()),
+    ("ofl", "ofl", ("1 0", "1 1")),
+    ("odbl", "odbl", ("1 0",)),
+    ("upl", "upl", ("1 0",)),
+    ("mulan", "mulanpsl", ("1 0", "2 0")),
+    ("qpl", "qpl", ("1 0",)),
+)
+#: Label, keyword, characteristic sentence of a notice that need not name its license.
+NOTICES = (
+    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("bsl", "permission", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("isc", "permission", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "endorse", "may be used to endorse or promote products derived from this software"),
+    ("zlib", "warranty", "this software is provided as is without any express or implied warranty in no event will the authors? be held liable"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "fuck", "do what the fuck you want to public licen[sc]e"),
+)
 #: Words that may stand between the grant's verb and the name.
 TERMS = "(?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
 VERBS = "(?:dual )?(?:licen[sc]ed|released|distributed|available|published|redistributed|provided)"
@@ -105,7 +149,7 @@ class Rule:
 
 
 def signatures() -> list[Rule]:
-    """All rules in order: identifiers, grants, versions, plain mentions, the base's phrases."""
+    """All rules in order: identifiers, grants, versions, plain mentions, notices, the base's phrases."""
     out = []
     for label, keyword, name, versions in LICENSES:
         out.append(Rule(label, keyword, f"spdx licen[sc]e identifier {name}", 0, 1.0))
@@ -117,13 +161,19 @@ def signatures() -> list[Rule]:
             out.append(Rule(own, keyword, f"{VERBS} under {TERMS}{number}", 1, 1.0))
             out.append(Rule(own, keyword, number, 2, 0.9))
         out.append(Rule(label, keyword, name, 3, 0.7))
+    for label, name, versions in IDENTIFIERS:
+        form = f"spdx licen[sc]e identifier {name}"
+        out.append(Rule(label, "spdx", form, 0, 1.0))
+        out += [Rule(f"{label}-{v.replace(' ', '.')}", "spdx", f"{form} {v}", 0, 1.0) for v in versions]
+    out += [Rule(label, keyword, sentence, 1, 0.9) for label, keyword, sentence in NOTICES]
     out += [Rule(label, phrase.split(" ")[0], phrase, 4, 0.7, True) for phrase, label in BASE]
     return out
 
 
 def gate() -> str:
     """A text without a match of this holds no phrase of any rule: all others hold ``licen[sc]``."""
-    free = sorted({name for _, _, name, _ in LICENSES if not name.endswith("licen[sc]e")} | {x for x, _ in BASE if "license" not in x})
+    free = {x for _, _, x, _ in LICENSES} | {x for _, _, x in NOTICES} | {x for x, _ in BASE}
+    free = sorted(x for x in free if not x.endswith(("licen[sc]e", "license")))
     raw = (x.replace(" ?", GAP + "*").replace(" ", GAP + "+") for x in free)
     return f"(?i)licen[sc]|(?:^|{GAP})(?:{'|'.join(raw)})"
 

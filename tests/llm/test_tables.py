@@ -111,6 +111,20 @@ def test_licence_spellings(spark):
     assert {x: found[i] for i, x in enumerate(cases)} == cases
 
 
+def test_licence_identifiers_and_notices(spark):
+    tags = {"MIT": "mit", "Apache-2.0": "apache-2.0", "ISC": "isc", "Zlib": "zlib", "EPL-2.0": "epl-2.0", "CDDL-1.0": "cddl-1.0",
+            "PostgreSQL": "postgresql", "BSL-1.0": "bsl-1.0", "OFL-1.1": "ofl-1.1", "Artistic-2.0": "artistic-2.0"}
+    cases = {f"// SPDX-License-Identifier: {x}\ncode": label for x, label in tags.items()}
+    cases |= {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files": "mit",
+        "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided": "bsd",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,": "isc",
+    }
+    table = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    found = {r.doc_id: r.labels.split(",") for r in licenses.scan_licenses(table).collect()}
+    assert all(label in found[i] for i, label in enumerate(cases.values())), found
+
+
 def test_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.01]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]),
             (6, [1.0, None]), (7, [0.0, 1.0]), (None, [1.0, 0.0]), (9, []), (10, [1.0, 0.0, 0.0])]
