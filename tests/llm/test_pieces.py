@@ -195,3 +195,16 @@ def test_mix_does_not_depend_on_neighbours_and_beats_uniform():
     together = mixer.bits(new)
     assert np.allclose(together, [mixer.bits([x])[0] for x in new])
     assert together[:5].sum() / sum(map(len, new[:5])) < 1.5 < together[6] / 100
+
+
+def test_weights_are_learnt_from_one_small_piece():
+    rng = random.Random(8)
+    train = [" ".join(rng.choices(["the", "of", "stone", "river"], k=40)).encode() for _ in range(20)]
+    code = lm.huffman(np.bincount(np.frombuffer(b"\0".join(train), np.uint8), minlength=256))
+    mixer = lm.Mixer(code, np.zeros(2 * lm.TOTAL, np.int32))
+    mixer.learn(train)
+    assert lm.K == 4 and (mixer.weights != np.float32(0.4)).any(axis=1).all()
+    once = lm.Mixer(code, np.zeros(2 * lm.TOTAL, np.int32))
+    once.count([b"q"])
+    d = lm.decisions([b"q"], code)
+    assert all((once._without(s, d.bit) == 0).all() for s in d.slots)  # nothing but the decision itself was counted
