@@ -7,8 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from loanloom.llm import fim
+from loanloom.llm.ann import nearest_vectors
 from loanloom.llm.bpe import round_trip_digests
 from loanloom.llm.common import table
+from loanloom.llm.dialogues import repair_digests
 from loanloom.llm.embeddings import link_vectors
 from loanloom.llm.licenses import scan_licenses
 from loanloom.llm.lm import score_texts
@@ -67,6 +70,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transformation_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,9 +100,12 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_substrings": op9_substrings,
         "op10_secrets": op10_secrets,
+        "op11_neighbors": op11_neighbors,
+        "op12_fim": op12_fim,
+        "op13_conversations": op13_conversations,
         "pipeline": pipeline,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {"op12_fim": fim.SQL}
