@@ -6,9 +6,11 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,6 +109,35 @@ def perhaps(df: DataFrame, key: str, members, inside: bool = True) -> DataFrame:
     return by_batch(df, batch, df.schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as no column of ``df`` has."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: str = "4m"):
+    """Inside, Arrow batches hold about ``most`` bytes, which bounds what workers and buffers take."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def finished(df: DataFrame) -> DataFrame:
+    """``df`` as a table of its own; the working tables written since :func:`taken` was last called go."""
+    working = taken()
+    out = saved(df)
+    discard(*working)
+    taken()
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -117,19 +148,38 @@ def id_remainder(doc_id: Column) -> Column:
 
 
 def by_batch(
-    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+    df: DataFrame,
+    function: Callable[[pa.RecordBatch], pa.RecordBatch | None],
+    schema: str,
+    text: int | None = None,
+    most: int = 1 << 22,
 ) -> DataFrame:
-    """``function`` on every Arrow batch of ``df``."""
+    """``function`` on every Arrow batch of ``df``; with ``text``, the number of a column, on ``most`` bytes of it at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = function(batch)
-            if out is not None and out.num_rows:
-                yield out
+        try:
+            for batch in batches:
+                for part in [batch] if text is None else slices(batch, text, most):
+                    out = function(part)
+                    if out is not None and out.num_rows:
+                        yield out
+        finally:  # the worker may stay for other stages
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
+def slices(rows: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of ``rows`` with about ``most`` bytes of text in a column, a longer text alone."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(rows.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < rows.num_rows:
+        done = int(size[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(size, done + most, "right")))
+        yield rows.slice(low, high - low)
+        low = high
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a string column as UTF-8 bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -168,7 +168,7 @@ def fill_in_middle(
         )
 
     names = f"id {kind}, n long, form string, prefix_chars long, middle_chars long, output string"
-    return by_batch(chosen, batch, names).withColumnRenamed("id", ident)
+    return by_batch(chosen, batch, names, text=1).withColumnRenamed("id", ident)
 
 
 def restored(

@@ -24,6 +24,7 @@ from loanloom.llm.common import (
     by_batch,
     components,
     discard,
+    fresh,
     membership,
     mixed,
     perhaps,
@@ -306,21 +307,25 @@ def link_near_duplicates(
 def keep_one(docs: DataFrame, percent: int = 85, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """One row of ``docs`` for each component, the one with the smallest id, with its columns.
 
-    Of repeated rows one stays.  Rows whose text has no words all stay.
+    Of repeated rows one stays, as of rows of different texts that share the
+    smallest id.  Rows whose text has no words (null, empty, white space) all
+    stay.  A null id is larger than any.  Whole texts are compared, however
+    long; columns of any name are handed through.
     """
     body = F.col(text).cast("string")
     first = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("digest").alias("digest")))
     linked = saved(_linked(docs, percent, text, ident).filter("node IS NOT NULL").select("id", "digest", "root"))
     stays = linked.groupBy("root").agg(first.alias("f")).select(F.col("f.id").alias("id"), F.col("f.digest").alias("digest"))
-    key = lambda i, d: F.xxhash64(i, d).alias("__row")
-    counted = linked.select(key("id", "digest")).groupBy("__row").agg(F.count("*").alias("n"))
+    row = fresh(docs, "row")
+    key = lambda i, d: F.xxhash64(i, d).alias(row)
+    counted = linked.select(key("id", "digest")).groupBy(row).agg(F.count("*").alias("n"))
     staying = stays.select(key("id", "digest"))
-    leaving = counted.join(staying.withColumn("stays", F.lit(True)), "__row", "left").filter("stays IS NULL OR n > 1")
-    marked = docs.withColumn("__row", F.xxhash64(F.col(ident), F.xxhash64(body)))
-    doubtful = membership(leaving.select("__row"))
+    leaving = counted.join(staying.withColumn("stays", F.lit(True)), row, "left").filter("stays IS NULL OR n > 1")
+    marked = docs.withColumn(row, F.xxhash64(F.col(ident), F.xxhash64(body)))
+    doubtful = membership(leaving.select(row))
     # most rows stay and need no exchange; the others are looked up
-    sure = perhaps(marked, "__row", doubtful, inside=False)
+    sure = perhaps(marked, row, doubtful, inside=False)
     wordless = F.coalesce(F.btrim(body, F.lit(" \t\n\x0b\x0c\r")) == "", F.lit(True))
-    looked_up = perhaps(marked, "__row", doubtful)
-    found = looked_up.filter(~wordless).join(saved(staying), "__row", "left_semi").dropDuplicates(["__row"])
+    looked_up = perhaps(marked, row, doubtful)
+    found = looked_up.filter(~wordless).join(saved(staying), row, "left_semi").dropDuplicates([row])
     return sure.unionByName(found).unionByName(looked_up.filter(wordless)).select(*docs.columns)

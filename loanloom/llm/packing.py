@@ -12,6 +12,7 @@ the rank says which copy of which pattern takes the remainder.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -202,15 +203,6 @@ class Tokens:
         return b"".join(out)
 
 
-_tokens: dict[str, Tokens] = {}
-
-
-def tokens(path: str) -> Tokens:
-    if path not in _tokens:
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
-
-
 def pack(
     docs: DataFrame,
     ranks: str,
@@ -232,8 +224,13 @@ def pack(
     kind = docs.schema[ident].dataType.simpleString()
     last = np.array([end], "<u4").tobytes()
 
-    def cut(rows: pa.RecordBatch) -> pa.RecordBatch:
-        own, count, sums = tokens(ranks), [], []
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Tokens(ranks)  # of this task; the worker may serve other stages next
+        for rows in batches:
+            yield cut_batch(own, rows)
+
+    def cut_batch(own: Tokens, rows: pa.RecordBatch) -> pa.RecordBatch:
+        count, sums = [], []
         for x in rows.column(1):  # one text at a time
             ids = own.ids(x.as_py() or "") + last
             count.append(len(ids) // 4)
@@ -244,7 +241,7 @@ def pack(
         )
 
     chosen = docs.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("text"))
-    cuts = saved(by_batch(chosen, cut, f"id {kind}, n long, sums array<long>"))
+    cuts = saved(chosen.mapInArrow(cut, f"id {kind}, n long, sums array<long>"))
     rows = cuts.select(
         "*",
         (F.col("n") % size).cast("int").alias("rest"),

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import WORD_GAP, saved
+from loanloom.llm.common import WORD_GAP, fresh, saved
 
 WHITE = " \t\n\x0b\x0c\r"
 #: Words that every text needs, and the most words in repeated windows, in percent.
@@ -99,12 +99,13 @@ def with_measures(docs: DataFrame, text: str = "text", name: str = "measures") -
     n_symbols = F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols")
     parts = F.struct(of_words.alias("w"), of_lines.alias("l"), n_symbols)
     # inline keeps the optimizer from writing the long expressions out once per field
-    rows = docs.select(*docs.columns, F.inline(F.array(F.struct(parts.alias("__parts")))))
+    held = fresh(docs, "parts")
+    rows = docs.select(*docs.columns, F.inline(F.array(F.struct(parts.alias(held)))))
     fields = F.expr(
-        "named_struct('n_words', __parts.w.n_words, 'word_chars', __parts.w.word_chars, 'n_symbols', __parts.n_symbols,"
-        " 'n_lines', __parts.l.n_lines, 'n_dup_lines', __parts.l.n_dup_lines, 'n_repeat_words', __parts.w.n_repeat_words,"
-        f" 'base_failed', __parts.w.n_words < {LEAST_WORDS}"
-        f" OR 100 * __parts.w.n_repeat_words > {MOST_REPEATED} * __parts.w.n_words)"
+        f"named_struct('n_words', {held}.w.n_words, 'word_chars', {held}.w.word_chars, 'n_symbols', {held}.n_symbols,"
+        f" 'n_lines', {held}.l.n_lines, 'n_dup_lines', {held}.l.n_dup_lines, 'n_repeat_words', {held}.w.n_repeat_words,"
+        f" 'base_failed', {held}.w.n_words < {LEAST_WORDS}"
+        f" OR 100 * {held}.w.n_repeat_words > {MOST_REPEATED} * {held}.w.n_words)"
     )
     return rows.select(*docs.columns, fields.alias(name))
 
@@ -238,9 +239,13 @@ def apply_quality(
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that :func:`apply_quality` keeps, with their columns."""
+    """The rows of ``docs`` that :func:`apply_quality` keeps, with their columns.
+
+    Nulls, repeated rows, ids labelled twice and empty texts are judged as
+    there; whole texts are measured, once, however long.  Columns of any name
+    are handed through.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"))
-    measured = with_measures(rows, name="m").select("doc", "m", stratum("doc.lang").alias("stratum"))
-    # the measures are taken twice, as writing the texts once more would cost more
+    measured = saved(with_measures(rows, name="m").select("doc", "m", stratum("doc.lang").alias("stratum")))
     cutoffs = saved(_cutoffs(measured.select(F.col("doc.doc_id").alias("id"), "stratum", "m.*"), labels, risk, error))
     return _with_cutoffs(measured, cutoffs).filter(_reason().isNull()).select("doc.*")

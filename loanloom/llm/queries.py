@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loanloom.llm import fim
 from loanloom.llm.ann import nearest_vectors
 from loanloom.llm.bpe import round_trip_digests
-from loanloom.llm.common import table
+from loanloom.llm.common import finished, small_batches, table, taken
 from loanloom.llm.dialogues import repair_digests
 from loanloom.llm.embeddings import link_vectors
 from loanloom.llm.licenses import scan_licenses
@@ -27,10 +28,24 @@ PACKING_RANKS = "byte_bpe_50k.tiktoken"
 ENCODING_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def _clean(query):
+    """``query``, whose result needs none of its working tables, which go."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        taken()  # tables of others stay
+        with small_batches(spark):
+            return finished(query(spark, sf_dir))
+
+    return run
+
+
+@_clean
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@_clean
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = apply_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select(
@@ -38,10 +53,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_clean
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@_clean
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_RANKS))
 
@@ -50,10 +67,12 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
 
+@_clean
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@_clean
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
@@ -62,6 +81,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(ENCODING_RANKS))
 
 
+@_clean
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(table(spark, sf_dir, "documents"))
 
@@ -70,6 +90,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+@_clean
 def op11_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +99,7 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.transformation_digests(table(spark, sf_dir, "documents"))
 
 
+@_clean
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digests(table(spark, sf_dir, "conversations"))
 

@@ -1,7 +1,7 @@
 """Repeated byte strings by suffix arrays over the places where repeats are possible.
 
 A window of ``length`` bytes is represented by the smallest hash among its
-128-byte pieces.  Equal windows have equal representatives at equal distances,
+pieces (128 bytes of 400).  Equal windows have equal representatives at equal distances,
 so only places that share a representative can hold a repeat, and each window
 belongs to one representative.  The bytes around such a place form a segment;
 segments with one representative go together, the equal ones once.  A task
@@ -21,11 +21,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import by_batch, discard, membership, perhaps, saved
+from loanloom.llm.common import by_batch, discard, fresh, membership, perhaps, saved
 
 LENGTH = 400
-#: Bytes of a piece, a power of two.
-PIECE = 128
+#: Windows hold this many pieces' lengths at least; shorter pieces find more places that repeat by chance.
+PIECES = 3
 #: Bytes of text that are sorted together.
 CHUNK = 1 << 18
 #: Different segments of one representative beyond which the group is split.
@@ -36,11 +36,16 @@ SPAN = 32
 STEP = 1 << 20
 
 
-def piece_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every 128-byte piece of ``data`` by doubling."""
+def piece_length(length: int) -> int:
+    """The longest power of two that fits a window :data:`PIECES` times."""
+    return 1 << max(0, (length // PIECES).bit_length() - 1)
+
+
+def piece_hashes(data: np.ndarray, piece: int) -> np.ndarray:
+    """A 64-bit hash of every piece of ``data`` by doubling; ``piece`` is a power of two."""
     h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     width, base = 1, 0xD6E8FEB86659FD93
-    while width < PIECE:
+    while width < piece:
         h = h[:-width] * np.uint64(base) + h[width:]
         base = base * base % (1 << 64)
         width *= 2
@@ -54,10 +59,11 @@ def representatives(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
     """
     found = []
     windows = len(data) - length + 1
-    inside = length - PIECE + 1  # pieces of a window
+    piece = piece_length(length)
+    inside = length - piece + 1  # pieces of a window
     for low in range(0, max(0, windows), STEP):
         n = min(STEP, windows - low)
-        h = piece_hashes(data[low : low + n + length - 1])
+        h = piece_hashes(data[low : low + n + length - 1], piece)
         # sliding minimum by doubling; ties to the left as the hash goes before the place
         place = np.arange(len(h))
         value, width = h, 1
@@ -382,12 +388,15 @@ def removal_digests(docs: DataFrame, text: str = "text", ident: str = "doc_id",
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` without the repeated bytes; a character goes only if all its bytes do.
 
-    All rows and columns stay.  Null texts stay null.
+    All rows and columns stay, columns of any name among them.  Null texts stay
+    null, empty ones and those shorter than ``length`` bytes as they are; rows
+    with equal texts repeat each other and become empty.  Whole texts are read,
+    however long.
     """
 
     def whole_characters(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for node, x, spans in zip(*(c.to_pylist() for c in batch.columns)):
+        for own, x, spans in zip(*(c.to_pylist() for c in batch.columns)):
             parts, at = [], 0
             for s in spans:
                 a, b = s["first"], s["end"]
@@ -397,17 +406,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
                     b -= 1
                 parts.append(x[at:a])
                 at = b
-            out.append((node, b"".join([*parts, x[at:]]).decode()))
-        return _table(out, ("__node", L), ("__kept", pa.string()))
+            out.append((own, b"".join([*parts, x[at:]]).decode()))
+        return _table(out, (node, L), (kept_text, pa.string()))
 
+    node = fresh(docs, "node")
+    kept_text, changed_flag = fresh(docs, "kept_text"), fresh(docs, "changed_flag")
     found = saved(find_repeats(docs, text, length).select("node", "spans"))
     body = F.col(text).cast("string").cast("binary")
-    marked = docs.withColumn("__node", node_of(text))
+    marked = docs.withColumn(node, node_of(text))
     concerned = membership(found.select("node"))
-    looked_up = perhaps(marked, "__node", concerned)
-    texts = looked_up.select(F.col("__node").alias("node"), body.alias("bytes")).dropDuplicates(["node"]).join(found, "node")
-    kept = saved(by_batch(texts.select("node", "bytes", "spans"), whole_characters, "__node long, __kept string"))
-    changed = looked_up.join(kept.withColumn("__found", F.lit(True)), "__node", "left")
-    new = F.when(F.col("__found"), F.col("__kept")).otherwise(F.col(text).cast("string"))
+    looked_up = perhaps(marked, node, concerned)
+    texts = looked_up.select(F.col(node).alias("node"), body.alias("bytes")).dropDuplicates(["node"]).join(found, "node")
+    kept = saved(by_batch(texts.select("node", "bytes", "spans"), whole_characters, f"{node} long, {kept_text} string"))
+    changed = looked_up.join(kept.withColumn(changed_flag, F.lit(True)), node, "left")
+    new = F.when(F.col(changed_flag), F.col(kept_text)).otherwise(F.col(text).cast("string"))
     changed = changed.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
-    return perhaps(marked, "__node", concerned, inside=False).select(*docs.columns).unionByName(changed)
+    return perhaps(marked, node, concerned, inside=False).select(*docs.columns).unionByName(changed)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import by_batch, id_remainder, saved
+from loanloom.llm.common import by_batch, id_remainder, ranges, saved
 
 #: Labelled texts that are learnt from, per class at most.
 EXAMPLES = 4096
@@ -100,10 +100,11 @@ class Matcher:
 
 
 class Index:
-    """Examples by feature, in blocks with the largest weight of each feature in each block.
+    """Posting lists of the examples, in blocks, with the largest weight of each feature in each block.
 
-    A block's postings are a small dense table of features by examples, so that
-    all queries that visit it are answered by one product.
+    Examples are numbered by places, ``BLOCK`` of them in a block; a feature's
+    postings are sorted by place, and ``begin`` tells where those of each block
+    begin.
     """
 
     def __init__(self, vectors: list[dict[int, float]], labels: np.ndarray, size: int):
@@ -111,64 +112,61 @@ class Index:
         order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i].items(), key=lambda x: (x[1], -x[0]), default=(-1, 0))[0], i))
         self.example, self.labels = np.array(order, np.int64), labels[order]
         self.blocks = max(1, -(-len(order) // BLOCK))
-        self.weights = np.zeros((self.blocks, size, BLOCK), np.float32)
-        for at, i in enumerate(order):
-            for f, w in vectors[i].items():
-                self.weights[at // BLOCK, f, at % BLOCK] = w
-        self.most = np.ascontiguousarray(self.weights.max(axis=2).T) if size else np.zeros((0, self.blocks), np.float32)
+        postings = sorted((f, at, w) for at, i in enumerate(order) for f, w in vectors[i].items())
+        feature, place, weight = (np.array([p[k] for p in postings], t) for k, t in enumerate((np.int64, np.int64, np.float64)))
+        self.place, self.weight = place, weight
+        slot = feature * self.blocks + place // BLOCK
+        self.begin = np.searchsorted(slot, np.arange(size * self.blocks + 1)).reshape(-1)
+        self.most = np.zeros((size, self.blocks), np.float32)
+        np.maximum.at(self.most.reshape(-1), slot, weight.astype(np.float32))
 
     def nearest(self, queries: list[dict[int, float]], k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each query the places and cosines of the ``k`` nearest examples with a cosine above 0, ties by place.
 
         ``without``: an example that a query must not find.  Each query visits
         its blocks in runs that double, those with the largest bounds first,
-        until no block left can hold a nearer example.  Products are taken in
-        single precision with room for their error; what may be among the
-        nearest is compared by cosines in double precision.
+        until no block left can hold a nearer example.  Bounds are taken in
+        single precision with room for their error, cosines in double.
         """
         out = []
+        hidden = np.full(len(queries), -1) if without is None else self.place_of(without)
         for low in range(0, len(queries), QUERIES):
-            out += self._nearest(queries[low : low + QUERIES], k, None if without is None else without[low : low + QUERIES])
+            some = queries[low : low + QUERIES]
+            table = np.zeros((len(some), len(self.most)), np.float32)
+            for row, q in zip(table, some):
+                row[list(q.keys())] = list(q.values())
+            bounds = (table @ self.most) * (1 + SLACK) + SLACK
+            out += [self._nearest(q, b, k, h) for q, b, h in zip(some, bounds, hidden[low : low + QUERIES].tolist())]
         return out
 
-    def _nearest(self, queries, k, without):
-        many = len(queries)
-        table = np.zeros((many, self.most.shape[0]), np.float32)
-        for row, q in zip(table, queries):
-            row[list(q.keys())] = list(q.values())
-        bound = (table @ self.most) * (1 + SLACK) + SLACK
-        order = np.argsort(-bound, axis=1, kind="stable")
-        # cosines so far; a query's own example and places beyond the last stay out
-        cosines = np.zeros((many, self.blocks * BLOCK), np.float32)
-        worst = np.zeros(many, np.float32)
-        at, run = 0, 4
-        while at < self.blocks:
-            asked = np.zeros((many, self.blocks), bool)
-            np.put_along_axis(asked, order[:, at : at + run], True, axis=1)
-            asked &= (bound > SLACK) & (bound >= worst[:, None] - SLACK)
-            if not asked.any():
-                break
-            for b in np.flatnonzero(asked.any(axis=0)).tolist():
-                who = np.flatnonzero(asked[:, b])
-                cosines[who, b * BLOCK : (b + 1) * BLOCK] = table[who] @ self.weights[b]
-            if without is not None:
-                cosines[self.example_at(without)] = 0
-            if cosines.shape[1] > k:
-                worst = np.partition(cosines, -k, axis=1)[:, -k]
-            at, run = at + run, run * 2
-        return [self._exact(q, np.flatnonzero((c > 0) & (c >= w - SLACK)), k) for q, c, w in zip(queries, cosines, worst)]
-
-    def example_at(self, without: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def place_of(self, examples: np.ndarray) -> np.ndarray:
         place = np.empty(len(self.example), np.int64)
         place[self.example] = np.arange(len(self.example))
-        return np.arange(len(without)), place[without]
+        return place[examples]
 
-    def _exact(self, query: dict[int, float], places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _nearest(self, query: dict[int, float], bound: np.ndarray, k: int, hidden: int) -> tuple[np.ndarray, np.ndarray]:
         features = np.fromiter(query.keys(), np.int64, len(query))
-        held = self.weights[places[:, None] // BLOCK, features, places[:, None] % BLOCK].astype(np.float64)
-        cosines = held @ np.fromiter(query.values(), np.float64, len(query))
-        best = np.lexsort((places, -cosines))[:k]
-        return places[best], cosines[best]
+        weights = np.fromiter(query.values(), np.float64, len(query))
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > SLACK]
+        cosines = np.zeros(self.blocks * BLOCK)
+        worst, at, run = 0.0, 0, 4
+        while at < len(order) and bound[order[at]] >= worst - SLACK:
+            blocks = order[at : at + run]
+            slots = (features[:, None] * self.blocks + blocks).ravel()
+            many = self.begin[slots + 1] - self.begin[slots]
+            posting = ranges(self.begin[slots], many)
+            cosines += np.bincount(
+                self.place[posting], self.weight[posting] * np.repeat(weights, many.reshape(len(features), -1).sum(axis=1)), len(cosines)
+            )
+            if hidden >= 0:
+                cosines[hidden] = 0
+            if len(cosines) > k:
+                worst = float(np.partition(cosines, -k)[-k])
+            at, run = at + run, run * 2
+        found = np.flatnonzero(cosines >= max(worst, np.nextafter(0, 1)))
+        best = found[np.lexsort((found, -cosines[found]))[:k]]
+        return best, cosines[best]
 
 
 class Model:
@@ -273,13 +271,19 @@ def score_toxicity(
             ["id", "features", "counts"],
         )
 
-    vectors = saved(by_batch(rows, counted, f"id {kind}, features array<int>, counts array<int>"))
+    vectors = saved(by_batch(rows, counted, f"id {kind}, features array<int>, counts array<int>", text=1))
+
+    def texts_with(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(features))
+        some = np.flatnonzero(held)
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some])], ["f", "n"])
+
     # how many of all texts hold each feature: FEATURES rows at most
-    held = vectors.select(F.explode("features").alias("f")).groupBy("f").count().collect()
+    held = by_batch(vectors.select("features"), texts_with, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
     total = vectors.count()
     idf = np.full(len(features), math.log(1 + total))
     for r in held:
-        idf[r.f] = math.log((1 + total) / (1 + r["count"])) + 1
+        idf[r.f] = math.log((1 + total) / (1 + r.n)) + 1
     learnt = sorted(
         (r.id, r.toxic, tuple(r.features), tuple(r.counts))
         for r in vectors.join(F.broadcast(examples.select("id", "toxic")), "id").dropDuplicates(["id"]).collect()

@@ -46,8 +46,7 @@ def test_perfect_hash_is_minimal():
     assert sorted(h.find(k) for k in keys) == list(range(5000))
 
 
-def test_suffix_order_and_repeats(monkeypatch):
-    monkeypatch.setattr(substrings, "PIECE", 16)
+def test_suffix_order_and_repeats():
     rng = random.Random(5)
     for _ in range(60):
         k, n = rng.choice([1, 2, 3, 150]), rng.randrange(1, 120)
@@ -62,12 +61,11 @@ def test_suffix_order_and_repeats(monkeypatch):
             assert hit.tolist() == [counts[p[i : i + 40]] > 1 for i in range(len(p) - 39)]
 
 
-def test_representatives_cover_every_window(monkeypatch):
-    monkeypatch.setattr(substrings, "PIECE", 16)
+def test_representatives_cover_every_window():
     x = np.frombuffer(bytes(random.Random(2).randrange(97, 100) for _ in range(900)), np.uint8)
     _, place, first, last = substrings.representatives(x, 40)
     assert first[0] == 0 and last[-1] == 860 and (first[1:] == last[:-1] + 1).all()
-    assert (place >= last).all() and (place + 16 <= first + 40).all()
+    assert (place >= last).all() and (place + substrings.piece_length(40) <= first + 40).all()
 
 
 def test_plan_places_everything_once():
