@@ -5,13 +5,16 @@ from functools import lru_cache
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from checks.boosting_sql import boosted, draw
 from checks.registry import acq, closing_codes, labelled_rows, oracle, r, register, tidy
 from loanloom.functions import loan as L
+from loanloom.operators import boosting as BOOST
 from loanloom.operators import curves as C
 from loanloom.operators import evaluate as E
 from loanloom.operators import features as X
 from loanloom.operators import models as M
 from loanloom.operators import neighbors as N
+from loanloom.operators import network as NET
 from loanloom.plans.default_model import learn_preparation
 from loanloom.session import materialized
 
@@ -207,13 +210,9 @@ def indicators_of_complete_columns(spark, d):
     )
 
 
-def _draw(seed: int) -> str:
-    return f"CAST('0x' || substr(md5(loan_id || '#{seed}'), 1, 12) AS BIGINT) / 281474976710656.0e0"
-
-
 @register(
     "random_split",
-    oracle(f"SELECT loan_id, CASE WHEN {_draw(0)} < 0.2e0 THEN 'test' ELSE 'train' END AS part FROM acq", "acq"),
+    oracle(f"SELECT loan_id, CASE WHEN {draw(0)} < 0.2e0 THEN 'test' ELSE 'train' END AS part FROM acq", "acq"),
 )
 def random_split(spark, d):
     train, test = X.random_split(acq(spark, d).select("loan_id"), 0.2)
@@ -224,7 +223,7 @@ def random_split(spark, d):
     "stratified_split",
     oracle(
         f"""SELECT loan_id, label, row_number() OVER (PARTITION BY label ORDER BY draw) <= round(count(*) OVER (PARTITION BY label) * 0.25e0) AS is_test
-        FROM (SELECT loan_id, label, {_draw(0)} AS draw FROM labelled WHERE label IS NOT NULL)""",
+        FROM (SELECT loan_id, label, {draw(0)} AS draw FROM labelled WHERE label IS NOT NULL)""",
         "labelled",
     ),
 )
@@ -237,117 +236,255 @@ def stratified_split(spark, d):
 
 
 @lru_cache(maxsize=4)
-def _prepared(spark, d):
-    """(preparation, complete rows, is_test flag) of the model frame."""
-    rows = materialized(labelled_rows(spark, d))
-    prep = learn_preparation(rows)
-    return prep, materialized(X.stratified_test_flag(prep.apply(rows), 0.25))
+def _parts(spark, d):
+    """(preparation learnt from the training part, training rows, test rows) of the labelled loans."""
+    flagged = materialized(X.stratified_test_flag(labelled_rows(spark, d), 0.25))
+    train, test = flagged.filter(~F.col("is_test")).drop("is_test"), flagged.filter("is_test").drop("is_test")
+    return learn_preparation(train), train, test
 
 
 @lru_cache(maxsize=4)
-def _split(spark, d):
-    prep, flagged = _prepared(spark, d)
-    vectors = X.assemble(flagged, prep.feature_names).select("loan_id", "label", "features", "is_test")
-    train = vectors.filter(~F.col("is_test")).drop("is_test")
-    return train, vectors.filter("is_test").drop("is_test")
+def _complete(spark, d):
+    """Training and test rows without gaps."""
+    prep, train, test = _parts(spark, d)
+    return materialized(prep.apply(train)), materialized(prep.apply(test))
 
 
-def _report(model, test):
-    return E.confusion_counts(M.score(model, test))
+def _report(scored):
+    return E.confusion_counts(scored)
 
 
-@register("assembled_features")
-def assembled_features(spark, d):
-    train, test = _split(spark, d)
-    both = train.unionByName(test)
-    return both.select("loan_id", "label", vector_to_array("features").alias("features"))
+@register(
+    "stratified_folds",
+    oracle(
+        f"""SELECT loan_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY draw) - 1) % 5 AS INTEGER) AS fold
+        FROM (SELECT loan_id, label, {draw(1234)} AS draw FROM labelled WHERE label IS NOT NULL)""",
+        "labelled",
+    ),
+)
+def stratified_folds(spark, d):
+    return X.stratified_folds(scored(spark, d).select("loan_id", "label"), 5, seed=1234)
 
 
-_GAPS = ["dti", "cscore_b", "num_bo"]
-_PREDICTORS = ["orig_rt", "orig_amt", "orig_trm", "oltv"]
+_COMPLETE = f"""SELECT p.loan_id, p.label, f.k, CASE WHEN f.of IS NULL THEN coalesce(l.x, m.median) ELSE l.x END AS x
+  FROM parted p JOIN long l ON p.loan_id = l.loan_id JOIN feature f ON l.k = f.k
+  LEFT JOIN (SELECT k, quantile_cont(x, 0.5) AS median FROM long WHERE part = 'train' GROUP BY 1) m ON f.k = m.k"""
 
 
-@register("imputed_columns")
-def imputed_columns(spark, d):
-    return X.impute(acq(spark, d).select("loan_id", *_PREDICTORS, *_GAPS), _GAPS, _PREDICTORS)
+@register(
+    "assembled_features",
+    boosted(
+        f"""SELECT loan_id, label, round(sum(x), 4) + 0.0e0 AS total, round(sum(x * (k + 1)), 4) + 0.0e0 AS weighted, CAST(count(*) AS BIGINT) AS n
+        FROM ({_COMPLETE}) GROUP BY 1, 2""",
+        BOOST.CLASSIFIER,
+        1,
+        depth=1,
+    ),
+)
+def assembled_features(spark, d):
+    """Sums over each assembled vector (without the flags of missing values), which tell whether every feature is in its place."""
+    prep, train, test = _parts(spark, d)
+    names = prep.open_names
+    vectors = X.assemble(prep.apply(train).unionByName(prep.apply(test)), names)
+    rows = vectors.select("loan_id", "label", vector_to_array("features").alias("v"))
+    add = lambda f: F.aggregate(F.transform("v", f), F.lit(0.0), lambda a, x: a + x)
+    out = rows.select(
+        "loan_id", "label", add(lambda x: x).alias("total"), add(lambda x, k: x * (k + 1)).alias("weighted"), F.size("v").cast("long").alias("n")
+    )
+    return tidy(out, places=4)
 
 
-_NEAR = ["orig_rt", "log_orig_amt", "log_oltv", "cscore_mn", "latitude", "longitude"]
+#: Columns of the acquisitions with gaps, and those without that are numbers.
+_GAPS = ["ocltv", "dti", "cscore_b", "num_bo", "mi_pct", "cscore_c", "mi_type"]
+_PREDICTORS = ["orig_rt", "orig_amt", "orig_trm", "oltv"]
+_CODES = ["orig_chn", "fthb_flg", "purpose", "prop_typ", "num_unit", "occ_stat", "state", "relocation_flg", "seller_name"]
 
 
-def _parts(spark, d):
-    _, flagged = _prepared(spark, d)
-    rows = flagged.select("loan_id", "label", "is_test", *_NEAR)
-    return rows.filter(~F.col("is_test")).drop("is_test"), rows.filter("is_test").drop("is_test")
+@register("imputed_columns")
+def imputed_columns(spark, d):
+    """Every column with gaps, filled from every column without, texts as indicators."""
+    coded = X.one_hot(acq(spark, d).select("loan_id", *_PREDICTORS, *_CODES, *_GAPS), _CODES)
+    predictors = [c for c in coded.columns if c not in ("loan_id", *_GAPS)]
+    return X.impute(coded, _GAPS, predictors).select("loan_id", *_PREDICTORS, *_GAPS)
 
 
 @register("smote_oversampling")
 def smote_oversampling(spark, d):
-    return N.smote(_parts(spark, d)[0], _NEAR)
+    return N.smote(_complete(spark, d)[0], _parts(spark, d)[0].feature_names)
 
 
 @register("edited_nearest_neighbors")
 def edited_nearest_neighbors(spark, d):
-    return N.edited_nearest_neighbors(_parts(spark, d)[0], _NEAR)
+    return N.edited_nearest_neighbors(_complete(spark, d)[0], _parts(spark, d)[0].feature_names)
+
+
+def _resampled(spark, d):
+    return N.smote_enn(_complete(spark, d)[0], _parts(spark, d)[0].feature_names)
 
 
 @register("smote_enn_resampling")
 def smote_enn_resampling(spark, d):
-    return N.smote_enn(_parts(spark, d)[0], _NEAR)
+    return _resampled(spark, d)
 
 
 @register("nearest_neighbor_classifier")
 def nearest_neighbor_classifier(spark, d):
-    train, test = _parts(spark, d)
-    return N.knn_scores(train, test, _NEAR).select("loan_id", "label", "score", "prediction")
+    train, test = _complete(spark, d)
+    return N.knn_scores(train, test, _parts(spark, d)[0].feature_names).select("loan_id", "label", "score", "prediction")
+
+
+def _forest(spark, d, **options):
+    """A forest of the resampled training part, on the test part as it is."""
+    names = _parts(spark, d)[0].feature_names
+    train = materialized(_resampled(spark, d).select("label", *names))
+    model = M.forest(X.assemble(train, names).select("label", "features"), **options)
+    return _report(M.score(model, X.assemble(_complete(spark, d)[1], names)))
 
 
 @register("random_forest")
 def random_forest(spark, d):
-    train, test = _split(spark, d)
-    return _report(M.forest(train, depth=5, min_leaf=5), test)
+    return _forest(spark, d)
+
+
+@register("random_forest_depth_5")
+def random_forest_depth_5(spark, d):
+    return _forest(spark, d, depth=5, min_leaf=5)
+
+
+@register("random_forest_depth_6")
+def random_forest_depth_6(spark, d):
+    return _forest(spark, d, depth=6)
+
+
+#: Rounds that the statements spell out: more than any fit on the driver's tables takes.
+_SPELT = 12
+_CONFUSED = """SELECT CAST(sum(CASE WHEN label = 0 AND score <= 0.5e0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+  CAST(sum(CASE WHEN label = 0 AND score > 0.5e0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+  CAST(sum(CASE WHEN label = 1 AND score <= 0.5e0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+  CAST(sum(CASE WHEN label = 1 AND score > 0.5e0 THEN 1 ELSE 0 END) AS BIGINT) AS tp FROM kept WHERE part = 'test'"""
+
 
+@lru_cache(maxsize=8)
+def _boosted(spark, d, settings):
+    prep, train, test = _parts(spark, d)
+    return BOOST.fit(prep.frame(train), prep.frame(test), prep.open_names, settings)
 
-@register("boosted_classifier")
+
+@register(
+    "boosted_split_gains",
+    boosted(
+        """SELECT f.name AS feature, CAST(cell AS BIGINT) AS cell, missing_left, round(gain, 6) + 0.0e0 AS gain
+        FROM w0_0 w JOIN feature f ON w.k = f.k""",
+        BOOST.CLASSIFIER,
+        1,
+        depth=1,
+    ),
+)
+def boosted_split_gains(spark, d):
+    """Every split of the first tree's root, with missing values on either side."""
+    prep, train, _ = _parts(spark, d)
+    names, s = prep.open_names, BOOST.CLASSIFIER
+    starts = BOOST.learn_cells(prep.frame(train), names)
+    rows = BOOST.placed(prep.frame(train), starts, "loan_id", "label", F.lit(0.0).alias("margin"))
+    sample = rows.filter(X.hash_fraction(F.col("loan_id"), s.seed) < s.rows)
+    columns = BOOST.sampled_columns(names, s.columns, s.seed)
+    gains = BOOST.split_gains(BOOST.level_sums(sample, s, len(names), [], BOOST.Tree(), [1], columns), s)
+    named = F.get(F.array(*[F.lit(n) for n in names]), F.col("feature").cast("int"))
+    return tidy(gains.select(named.alias("feature"), "cell", "missing_left", "gain"))
+
+
+@register(
+    "boosted_rounds",
+    boosted(
+        "SELECT round, round(pr_auc, 6) + 0.0e0 AS pr_auc, round <= (SELECT best FROM stop) AS kept FROM area WHERE round <= (SELECT last FROM stop)",
+        BOOST.CLASSIFIER,
+        _SPELT,
+    ),
+)
+def boosted_rounds(spark, d):
+    """The area after every round, and which rounds the fit keeps."""
+    return tidy(_boosted(spark, d, BOOST.CLASSIFIER).rounds(spark))
+
+
+@register("boosted_classifier", boosted(_CONFUSED, BOOST.CLASSIFIER, _SPELT))
 def boosted_classifier(spark, d):
-    train, test = _split(spark, d)
-    return _report(M.boosted_classifier(train, test, rounds=100), test)
+    return _report(_boosted(spark, d, BOOST.CLASSIFIER).transform(_parts(spark, d)[0].frame(_parts(spark, d)[2])))
+
+
+@register("patient_boosted_classifier")
+def patient_boosted_classifier(spark, d):
+    """The classifier of at most 100 rounds that waits 30 for a better area."""
+    prep, _, test = _parts(spark, d)
+    return _report(_boosted(spark, d, BOOST.PATIENT_CLASSIFIER).transform(prep.frame(test)))
 
 
 @register("boosted_regression")
 def boosted_regression(spark, d):
-    train, test = _split(spark, d)
-    return _report(M.boosted_regressor(train, test), test)
+    prep, _, test = _parts(spark, d)
+    return _report(_boosted(spark, d, BOOST.REGRESSION).transform(prep.frame(test)))
+
+
+@register(
+    "boosted_nodes",
+    boosted(
+        """SELECT tree, node, f.name AS feature, missing_left, round(gain, 5) + 0.0e0 AS gain, round(cover, 5) + 0.0e0 AS cover,
+        round(t.start, 6) + 0.0e0 AS last_cell_from FROM split s JOIN feature f ON s.k = f.k
+        JOIN starts t ON s.k = t.k AND s.cell = t.cell WHERE tree <= (SELECT best FROM stop)""",
+        BOOST.CLASSIFIER,
+        _SPELT,
+    ),
+)
+def boosted_nodes(spark, d):
+    """The kept trees as a table."""
+    nodes = tidy(_boosted(spark, d, BOOST.CLASSIFIER).nodes(spark))
+    return nodes.withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("gain", "cover")})
+
+
+@register(
+    "feature_importance",
+    boosted(
+        """SELECT f.name AS feature, count(*) AS splits FROM split s JOIN feature f ON s.k = f.k WHERE tree <= (SELECT best FROM stop)
+        GROUP BY 1 ORDER BY splits DESC, feature LIMIT 20""",
+        BOOST.CLASSIFIER,
+        _SPELT,
+    ),
+)
+def feature_importance(spark, d):
+    """How often the kept trees split on a feature, the 20 most frequent."""
+    return _boosted(spark, d, BOOST.CLASSIFIER).split_counts(spark)
 
 
 @register("neural_net")
 def neural_net(spark, d):
-    prep, _ = _prepared(spark, d)
-    train, test = _split(spark, d)
-    return _report(M.neural_net(train, len(prep.feature_names)), test)
+    train, test = _complete(spark, d)
+    return _report(NET.fit(train, _parts(spark, d)[0].feature_names)[0].transform(test))
 
 
 @register("cross_validation")
 def cross_validation(spark, d):
-    prep, _ = _prepared(spark, d)
-    train, _ = _split(spark, d)
-    return M.cross_validate(train, lambda part: M.neural_net(part, len(prep.feature_names)))
+    return M.cross_validate(_complete(spark, d)[0], _parts(spark, d)[0].feature_names)
 
 
-@register("scored_later_cohort")
+_EARLY = "1997"
+
+
+@register(
+    "scored_later_cohort",
+    boosted(
+        "SELECT loan_id, label, round(score, 6) + 0.0e0 AS score, CASE WHEN score > 0.5e0 THEN 1 ELSE 0 END AS prediction FROM kept WHERE part = 'late'",
+        BOOST.CLASSIFIER,
+        _SPELT,
+        known=f"orig_year <= '{_EARLY}'",
+    ),
+)
 def scored_later_cohort(spark, d):
     """Fit on vintages up to 1997, score the later ones with the same preparation."""
     vintage = acq(spark, d).select("loan_id", F.substring("orig_dte", 4, 4).alias("year"))
     rows = materialized(labelled_rows(spark, d).join(vintage, "loan_id"))
-    early = rows.filter(F.col("year") <= "1997").drop("year")
-    late = rows.filter(F.col("year") > "1997").drop("year")
-    prep = learn_preparation(early)
-    model = M.forest(prep.assemble(early))
-    return M.score(model, prep.assemble(late)).select("loan_id", "label", "score", "prediction")
-
-
-@register("feature_importance")
-def feature_importance(spark, d):
-    prep, _ = _prepared(spark, d)
-    train, _ = _split(spark, d)
-    return M.importance(spark, M.forest(train), prep.feature_names)
+    early = rows.filter(F.col("year") <= _EARLY).drop("year")
+    late = rows.filter(F.col("year") > _EARLY).drop("year")
+    flagged = materialized(X.stratified_test_flag(early, 0.25))
+    train, test = flagged.filter(~F.col("is_test")), flagged.filter("is_test")
+    prep = learn_preparation(train)
+    model = BOOST.fit(prep.frame(train), prep.frame(test), prep.open_names)
+    return tidy(model.transform(prep.frame(late)).select("loan_id", "label", "score", "prediction"))

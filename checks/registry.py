@@ -270,8 +270,8 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
-def oracle(final: str, *needs: str, extra: dict[str, str] | None = None) -> str:
-    """``final`` preceded by the CTEs it needs, in order."""
+def oracle(final: str, *needs: str, extra: dict[str, str] | None = None, stored: bool = False) -> str:
+    """``final`` preceded by the CTEs it needs, in order; with ``stored``, the ``extra`` ones are computed once each."""
     used: list[str] = []
 
     def use(name: str) -> None:
@@ -283,5 +283,5 @@ def oracle(final: str, *needs: str, extra: dict[str, str] | None = None) -> str:
     for n in needs:
         use(n)
     ctes = [f"{n} AS ({_CTES[n][0]})" for n in used]
-    ctes += [f"{n} AS ({t})" for n, t in (extra or {}).items()]
+    ctes += [f"{n} AS {'MATERIALIZED ' if stored else ''}({t})" for n, t in (extra or {}).items()]
     return f"WITH {', '.join(ctes)} {final}"

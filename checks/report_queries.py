@@ -457,27 +457,26 @@ _BW = {0: 0.2, 1: 2.0}
 
 
 def _density_sql(columns: list[str]) -> str:
+    """The definition: at every grid point the mean of the kernels of all values that are not far away."""
     long = " UNION ALL ".join(
         f"SELECT label, '{c}' AS \"column\", CAST({c} AS DOUBLE) AS x FROM featured WHERE {c} IS NOT NULL" for c in columns
     )
     return oracle(
-        """SELECT w.label, w."column", a.i AS at, round(max(origin + a.i * step), 6) + 0.0e0 AS x,
-        round(sum(weight * exp(-0.5e0 * ((a.i - node) * step / bw) * ((a.i - node) * step / bw)) / (bw * sqrt(2 * pi()))) / max(n), 6) + 0.0e0 AS density
-        FROM weights w JOIN spans s ON w.label = s.label AND w."column" = s."column", (SELECT CAST(unnest(range(128)) AS INTEGER) AS i) a GROUP BY 1, 2, 3""",
+        """SELECT p.label, p."column", p.at, round(p.at * (p.bw / 2), 6) + 0.0e0 AS x,
+        round(sum(v.n * exp(-0.5e0 * pow((p.at * (p.bw / 2) - v.x) / p.bw, 2))) / (p.bw * sqrt(2 * pi()) * max(total)), 6) + 0.0e0 AS density
+        FROM points p JOIN spread v ON p.label = v.label AND p."column" = v."column" AND v.x BETWEEN p.at * (p.bw / 2) - 7 * p.bw AND p.at * (p.bw / 2) + 7 * p.bw
+        GROUP BY p.label, p."column", p.at, p.bw""",
         "located",
         extra={
             "featured": "SELECT *, ln(orig_val) AS log_orig_val, ln(orig_amt) AS log_orig_amt, ln(oltv) AS log_oltv, "
             "-ln(orig_trm) AS log_orig_trm, ln(ocltv) AS log_ocltv, ln(dti) AS log_dti FROM located",
             "long": long,
-            "spans": """SELECT label, "column", n, bw, lo - 3 * bw AS origin, (hi - lo + 6 * bw) / 127 AS step FROM
-                (SELECT label, "column", min(x) AS lo, max(x) AS hi, count(*) AS n,
-                 CASE label WHEN 0 THEN 0.2e0 ELSE 2.0e0 END AS bw FROM long GROUP BY 1, 2)""",
-            "placed": """SELECT l.label, l."column", (x - origin) / step AS place FROM long l
-                JOIN spans s ON l.label = s.label AND l."column" = s."column" """,
-            "halves": """SELECT label, "column", least(floor(place), 126) AS node, 1 - (place - least(floor(place), 126)) AS weight FROM placed
-                UNION ALL SELECT label, "column", least(floor(place), 126) + 1, place - least(floor(place), 126) FROM placed""",
-            "weights": 'SELECT label, "column", node, sum(weight) AS weight FROM halves GROUP BY 1, 2, 3',
+            "spread": """SELECT label, "column", x, n, CASE label WHEN 0 THEN 0.2e0 ELSE 2.0e0 END AS bw, sum(n) OVER (PARTITION BY label, "column") AS total
+                FROM (SELECT label, "column", x, count(*) AS n FROM long GROUP BY 1, 2, 3)""",
+            "points": """SELECT DISTINCT label, "column", bw,
+                unnest(range(CAST(ceil((x - 6 * bw) / (bw / 2)) AS BIGINT), CAST(floor((x + 6 * bw) / (bw / 2)) AS BIGINT) + 1)) AS at FROM spread""",
         },
+        stored=True,
     )
 
 

@@ -106,6 +106,20 @@ def stratified_test_flag(
     ).drop("draw", "draw_limit")
 
 
+def stratified_folds(
+    df: DataFrame, folds: int = 5, label: str = "label", seed: int = 0, key: str = "loan_id"
+) -> DataFrame:
+    """Add ``fold``: each class dealt out in the order of a hash of the id, so counts differ by one at most.
+
+    Ranks come from running totals, not from a window over a class.  Rows that
+    share id and label share a fold; rows without a label have none.
+    """
+    hashed = df.withColumn("draw", hash_fraction(F.col(key), seed))
+    ranked = running_totals(hashed, "draw", {"n": F.lit(1)}, (label,))
+    dealt = ranked.select(label, "draw", (F.col("n_before") % folds).cast("int").alias("fold"))
+    return hashed.join(dealt, [label, "draw"], "left").select(*df.columns, "fold")
+
+
 def stratified_split(
     df: DataFrame, test_share: float, label: str = "label", seed: int = 0, key: str = "loan_id"
 ) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,7 @@
 """Loan-level joins."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -7,7 +9,8 @@ from loanloom.functions import loan as L
 from loanloom.operators.panel import KEYS, keys_above
 
 
-# Above this many rows of one key a join side is treated as skewed.
+# Above this many rows a key is joined apart from the others.  It also bounds what
+# is broadcast: at most (rows / HOT_KEY_ROWS) keys.
 HOT_KEY_ROWS = 1_000_000
 
 
@@ -15,23 +18,32 @@ def _ids(df: DataFrame, keys) -> DataFrame:
     return df.select(*keys).distinct()
 
 
+def _hot(keys, limit: int, *sides: DataFrame) -> DataFrame:
+    """Keys with more than ``limit`` rows on a side, counted when the plan runs."""
+    found = [keys_above(side, keys, limit).select(*keys) for side in sides]
+    return F.broadcast(reduce(DataFrame.unionByName, found).distinct())
+
+
 def outer_join(
     left: DataFrame, right: DataFrame, keys=KEYS, hot_key_rows: int | None = HOT_KEY_ROWS
 ) -> DataFrame:
     """Full outer join that can still be split when one key is hot.
 
     Spark's adaptive skew handling splits inner and anti joins but not full
-    outer ones.  So the sizes are checked first, and with a hot key the three
-    disjoint parts of the result are joined separately.
+    outer ones.  So hot keys are joined apart, in three disjoint parts; where
+    there are none, adaptive execution leaves those out.  ``None`` is for sides
+    that are known to have no hot key.
     """
     keys = list(keys)
-    if not any(_has_hot_key(side, keys, hot_key_rows) for side in (left, right)):
+    if hot_key_rows is None:
         return left.join(right, keys, "full")
-    left_only = left.join(_ids(right, keys), keys, "left_anti")
+    hot = _hot(keys, hot_key_rows, left, right)
+    usual = left.join(hot, keys, "left_anti").join(right.join(hot, keys, "left_anti"), keys, "full")
+    one, other = (side.join(hot, keys, "left_semi") for side in (left, right))
     return (
-        left.join(right, keys)
-        .unionByName(left_only, allowMissingColumns=True)
-        .unionByName(_right_only(left, right, keys), allowMissingColumns=True)
+        usual.unionByName(one.join(other, keys))
+        .unionByName(one.join(_ids(other, keys), keys, "left_anti"), allowMissingColumns=True)
+        .unionByName(other.join(_ids(one, keys), keys, "left_anti"), allowMissingColumns=True)
     )
 
 
@@ -40,19 +52,13 @@ def outer_join_unique(
 ) -> DataFrame:
     """:func:`outer_join` for a ``right`` side with one row per key."""
     keys = list(keys)
-    if not _has_hot_key(left, keys, hot_key_rows):
+    if hot_key_rows is None:
         return left.join(right, keys, "full")
-    return left.join(right, keys, "left").unionByName(
-        _right_only(left, right, keys), allowMissingColumns=True
-    )
-
-
-def _has_hot_key(df: DataFrame, keys, limit: int | None) -> bool:
-    return limit is not None and not keys_above(df, keys, limit).isEmpty()
-
-
-def _right_only(left: DataFrame, right: DataFrame, keys) -> DataFrame:
-    return right.join(_ids(left, keys), keys, "left_anti")
+    hot = _hot(keys, hot_key_rows, left)
+    usual = left.join(hot, keys, "left_anti").join(right.join(hot, keys, "left_anti"), keys, "full")
+    # the right side has a row for each hot key at most
+    few = F.broadcast(right.join(hot, keys, "left_semi"))
+    return usual.unionByName(left.join(hot, keys, "left_semi").join(few, keys, "left"))
 
 
 def acquisitions_with_last_row(acq: DataFrame, last: DataFrame, keys=KEYS) -> DataFrame:

@@ -1,117 +1,34 @@
-"""Model families, cross-validation, scoring and feature importance.
+"""Random forests, scoring, cross-validation and feature importance.
 
-All fitting is done by Spark ML on a frame with ``features`` and ``label``.
-Parameters default to the usual settings of the workflow; where a learner
-has no counterpart of a parameter the nearest one is named in the docstring.
+Forests are Spark ML's; boosted trees and the net are in modules of their own.
 """
 
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark.ml.classification import (
-    GBTClassifier,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanloom.operators import network
 from loanloom.operators.curves import average_precision, threshold_counts
-from loanloom.operators.features import hash_fraction
+from loanloom.operators.features import stratified_folds
+from loanloom.session import materialized
 
-POSITIVE_WEIGHT = 4.5
+#: Spark's trees need a depth limit; this is the largest.
+DEEPEST = 30
 
 
 def forest(
-    train: DataFrame, trees: int = 200, depth: int = 5, min_leaf: int = 1, seed: int = 0
+    train: DataFrame, trees: int = 200, depth: int = DEEPEST, min_leaf: int = 1, seed: int = 0
 ):
-    """Random forest.  Spark trees need a depth limit (30 at most)."""
+    """Random forest on a frame with ``features`` and ``label``."""
     learner = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed
     )
     return learner.fit(train)
 
 
-def _with_validation(train: DataFrame, valid: DataFrame) -> DataFrame:
-    return train.withColumn("is_valid", F.lit(False)).unionByName(
-        valid.withColumn("is_valid", F.lit(True))
-    )
-
-
-def boosted_classifier(
-    train: DataFrame,
-    valid: DataFrame,
-    rounds: int = 1000,
-    rate: float = 0.1,
-    depth: int = 5,
-    subsample: float = 0.8,
-    features_per_tree: float = 0.8,
-    min_leaf: int = 5,
-    positive_weight: float = POSITIVE_WEIGHT,
-    tolerance: float = 0.01,
-    seed: int = 27,
-):
-    """Boosted trees with a weighted positive class and early stopping.
-
-    Training ends when the validation loss no longer improves by ``tolerance``;
-    features are sampled per split, not per tree.
-    """
-    weight = F.when(F.col("label") == 1, positive_weight).otherwise(1.0)
-    learner = GBTClassifier(
-        maxIter=rounds,
-        stepSize=rate,
-        maxDepth=depth,
-        subsamplingRate=subsample,
-        featureSubsetStrategy=str(features_per_tree),
-        minInstancesPerNode=min_leaf,
-        weightCol="weight",
-        validationIndicatorCol="is_valid",
-        validationTol=tolerance,
-        seed=seed,
-    )
-    return learner.fit(_with_validation(train, valid).withColumn("weight", weight))
-
-
-def boosted_regressor(
-    train: DataFrame,
-    valid: DataFrame,
-    rounds: int = 100,
-    rate: float = 0.5,
-    depth: int = 15,
-    subsample: float = 0.9,
-    features_per_tree: float = 0.9,
-    min_leaf: int = 5,
-    tolerance: float = 0.01,
-    seed: int = 1234,
-):
-    """Boosted regression on the 0/1 label with early stopping."""
-    learner = GBTRegressor(
-        maxIter=rounds,
-        stepSize=rate,
-        maxDepth=depth,
-        subsamplingRate=subsample,
-        featureSubsetStrategy=str(features_per_tree),
-        minInstancesPerNode=min_leaf,
-        validationIndicatorCol="is_valid",
-        validationTol=tolerance,
-        seed=seed,
-    )
-    return learner.fit(_with_validation(train, valid))
-
-
-def neural_net(
-    train: DataFrame,
-    inputs: int,
-    hidden: tuple[int, ...] = (10,) * 8,
-    iterations: int = 200,
-    seed: int = 2345,
-):
-    """Feed-forward net.  Spark's hidden layers are sigmoid, fitted by l-bfgs."""
-    layers = [inputs, *hidden, 2]
-    return MultilayerPerceptronClassifier(layers=layers, maxIter=iterations, seed=seed).fit(train)
-
-
 def score(model, df: DataFrame) -> DataFrame:
     """Add ``score`` (probability of the positive class) and hard ``prediction``."""
     out = model.transform(df)
@@ -128,28 +45,24 @@ def score(model, df: DataFrame) -> DataFrame:
 
 def cross_validate(
     df: DataFrame,
-    fit: Callable[[DataFrame], object],
+    features: list[str],
+    settings: network.Settings = network.Settings(),
     folds: int = 5,
     seed: int = 1234,
     key: str = "loan_id",
 ) -> DataFrame:
-    """Average precision on the training and test part of every fold.
+    """Average precision of a net on the training and test part of every stratified fold.
 
-    A row's fold is a hash of its id and class, so folds are repeatable and
-    independent of partitioning.
+    All folds' nets learn in the same passes over ``df``, and one pass scores them.
     """
-    tag = F.concat(F.col(key).cast("string"), F.lit("/"), F.col("label").cast("string"))
-    placed = df.withColumn("fold", F.floor(hash_fraction(tag, seed) * folds).cast("int"))
-    out = None
-    for i in range(folds):
-        train, test = placed.filter(F.col("fold") != i), placed.filter(F.col("fold") == i)
-        model = fit(train)
-        for name, part in (("train", train), ("test", test)):
-            row = average_precision(threshold_counts(score(model, part))).select(
-                F.lit(i).alias("fold"), F.lit(name).alias("part"), "average_precision"
-            )
-            out = row if out is None else out.unionByName(row)
-    return out
+    dealt = materialized(stratified_folds(df.filter(F.col("label").isNotNull()), folds, seed=seed, key=key))
+    nets = network.fit(dealt, features, settings, key, "fold", folds)
+    scored = [
+        net.transform(dealt).select(F.lit(i).alias("model"), F.when(F.col("fold") == i, "test").otherwise("train").alias("part"), "label", "score")
+        for i, net in enumerate(nets)
+    ]
+    counts = threshold_counts(reduce(DataFrame.unionByName, scored), keys=("model", "part"))
+    return average_precision(counts, ("model", "part")).withColumnRenamed("model", "fold")
 
 
 def importance(spark, model, names: list[str], n: int = 20) -> DataFrame:

@@ -3,11 +3,12 @@
 Every panel operator needs "what happened on this loan's earlier rows".  For an
 ordinary loan (at most a few hundred months) that is one window over the loan.
 A loan id that holds a large part of the table (a placeholder id, say) would put
-all its rows into one task, so such ids are found by a map-side-combined count
-and scanned in blocks instead: blocks are consecutive slices of the loan's own
-(period, row_seq) order, each is summarised by an aggregate, the summaries are
-carried forward, and the rows are then finished block by block.  Both ways give
-the same rows.
+all its rows into one task, so such ids are scanned in blocks instead: blocks are
+consecutive slices of the loan's own (period, row_seq) order with about equally
+many rows, each is summarised by an aggregate, the summaries are carried forward,
+and the rows are then finished block by block.  Both ways are in every plan and
+give the same rows; which loans are big is counted when the plan runs, and where
+none is, adaptive execution leaves the blocks out.
 """
 
 from dataclasses import dataclass, replace
@@ -18,16 +19,19 @@ from pyspark.sql import functions as F
 from loanloom.functions import loan as L
 from loanloom.functions.dates import parse_day
 from loanloom.functions.nulls import null_to_blank
+from loanloom.operators.ranked import range_of
 
 KEYS = ("loan_id",)
 ORDER = ("period", "row_seq")
 
-# A loan above this many rows is scanned in blocks.  It also bounds the list of
-# such loans, which is broadcast: at most (panel rows / BIG_LOAN_ROWS) ids.
+# A loan above this many rows is scanned in blocks, and in about this many blocks
+# for each time it has so many.  Both bound what is broadcast: at most (panel rows
+# / BIG_LOAN_ROWS) ids, and BLOCKS_EACH times as many places where blocks begin.
 BIG_LOAN_ROWS = 1_000_000
-BLOCKS_PER_PERIOD = 16_384
-BLOCK = ("period_block", "seq_block")
-EARLIEST = "0001-01-01"  # block of rows without a period, which come first
+BLOCKS_EACH = 8
+BLOCK = ("block",)
+# Copies of a row are written out in runs of this many.
+RUN = 1 << 16
 
 
 def prepare_panel(perf: DataFrame, row_seq: str | None = None, keys=KEYS) -> DataFrame:
@@ -75,9 +79,15 @@ class PanelPart:
     def expand(self) -> DataFrame:
         """One output row per input row again, with ``copy`` numbered from 1."""
         if not self.block:
-            return self.rows.withColumn("copy", F.lit(1)).drop("copies")
-        copies = F.sequence(F.lit(1), F.col("copies").cast("int"))
-        return self.rows.withColumn("copy", F.explode(copies)).drop("copies", *self.block)
+            return self.rows.withColumn("copy", F.lit(1).cast("bigint")).drop("copies")
+        runs = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / RUN))
+        within = F.least(F.col("copies") - F.col("copy_run") * RUN, F.lit(RUN).cast("bigint"))
+        return (
+            self.rows.withColumn("copy_run", F.explode(runs))
+            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), within)))
+            .withColumn("copy", F.col("copy_run") * RUN + F.col("copy"))
+            .drop("copies", "copy_run", *self.block)
+        )
 
 
 def keys_above(df: DataFrame, keys, limit: int) -> DataFrame:
@@ -87,43 +97,42 @@ def keys_above(df: DataFrame, keys, limit: int) -> DataFrame:
     only the key columns are read.
     """
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_of_key"))
-    return counted.filter(F.col("rows_of_key") > limit).drop("rows_of_key")
+    return counted.filter(F.col("rows_of_key") > limit)
 
 
 def split_by_size(
     panel: DataFrame, keys=KEYS, big_loan_rows: int | None = BIG_LOAN_ROWS
 ) -> list[PanelPart]:
-    """Ordinary loans and, if there are any, big loans.
+    """Ordinary loans and big loans; either part may turn out empty when it runs.
 
-    The sizes are checked by one small job when the plan is built, so that the
-    usual panel gets the short plan.  Pass ``big_loan_rows=None`` to leave the
-    check out for a panel known to be unique by (loan, period).
+    A big loan's blocks begin at rows drawn from its own order by hash: the
+    more distinct places, the more draws, so blocks have about equally many
+    and outlying positions do no harm.  Pass ``big_loan_rows=None`` to leave
+    the second part out for a panel known to be unique by (loan, period).
     """
     keys = tuple(keys)
     one = F.lit(1).cast("bigint")
-    if big_loan_rows is not None:
-        big = keys_above(panel, keys, big_loan_rows)
-    if big_loan_rows is None or big.isEmpty():
+    if big_loan_rows is None:
         return [PanelPart(panel.withColumn("copies", one), keys)]
+    counted = keys_above(panel, keys, big_loan_rows)
+    big = counted.select(*keys)
     ordinary = panel.join(F.broadcast(big), list(keys), "left_anti")
-    place = (F.col("row_seq").cast("double") - F.col("seq_lo")) / (
-        F.col("seq_hi") - F.col("seq_lo") + 1
+    # identical rows are counted first
+    copies = panel.join(F.broadcast(counted), list(keys)).groupBy(*panel.columns, "rows_of_key").agg(F.count(F.lit(1)).alias("copies"))
+    order, drawn = F.struct(*ORDER), F.xxhash64(*ORDER)
+    slot = F.pmod(drawn, F.ceil(F.col("rows_of_key") * BLOCKS_EACH / big_loan_rows))
+    begins = (
+        copies.groupBy(*keys, slot.alias("slot"))
+        .agg(F.min_by(order, drawn).alias("begin"))
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list("begin")).alias("begins"))
     )
-    of_big = panel.join(F.broadcast(big), list(keys))
-    seq = F.col("row_seq").cast("double")
-    span = of_big.groupBy(*keys).agg(F.min(seq).alias("seq_lo"), F.max(seq).alias("seq_hi"))
     blocked = (
-        of_big.join(F.broadcast(span), list(keys))
-        # missing positions sort first, so their block does too
-        .withColumn("seq_block", F.coalesce(F.floor(place * BLOCKS_PER_PERIOD), F.lit(-1)))
-        .groupBy(*panel.columns, "seq_block")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("period_block", F.coalesce("period", F.lit(EARLIEST).cast("date")))
+        copies.join(F.broadcast(begins), list(keys))
+        .withColumn("block", range_of(order, F.col("begins")))
+        .drop("rows_of_key", "begins")
     )
-    return [
-        PanelPart(ordinary.withColumn("copies", one), keys),
-        PanelPart(blocked, keys, BLOCK, big),
-    ]
+    return [PanelPart(ordinary.withColumn("copies", one), keys), PanelPart(blocked, keys, BLOCK, big)]
 
 
 def earlier_rows(part: PanelPart, states: dict[str, tuple[str, Column]]) -> DataFrame:
@@ -159,7 +168,7 @@ def earlier_rows(part: PanelPart, states: dict[str, tuple[str, Column]]) -> Data
     summary = part.rows.groupBy(*block_keys).agg(
         *[summarise[kind](x).alias(name) for name, (kind, x) in states.items()]
     )
-    # One row per block of a loan: at most periods x BLOCKS_PER_PERIOD of them.
+    # One row per block of a loan.
     blocks = Window.partitionBy(*part.keys).orderBy(*part.block)
     blocks_before = blocks.rowsBetween(Window.unboundedPreceding, -1)
     carry = {

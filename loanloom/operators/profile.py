@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from loanloom.functions.loan import log_feature
 from loanloom.operators.ranked import quantile_columns, running_totals
 
-DENSITY_NODES = 128
+#: Grid points in a bandwidth, and bandwidths that a value reaches: what lies beyond adds less than 1e-8.
+DENSITY_STEPS, DENSITY_REACH = 2, 6.0
 WHISKER = 1.5
 
 
@@ -154,53 +155,34 @@ def density(
     columns: list[str],
     bandwidth: dict[int, float],
     label: str = "label",
-    nodes: int = DENSITY_NODES,
+    steps: int = DENSITY_STEPS,
 ) -> DataFrame:
-    """Gaussian density curve per label and column on ``nodes`` grid points.
-
-    Every value is shared between its two neighbouring grid points, so the data
-    shrinks to at most ``nodes`` weights per curve before the kernel is applied.
-    ``df`` is read twice, for the ranges and for the weights: pass a stored table.
+    """Gaussian density per label and column: ``(label, column, at, x, density)``.
+
+    Grid points are the multiples of ``1 / steps`` of the bandwidth within
+    ``DENSITY_REACH`` bandwidths of a value, so the grid follows the bandwidth
+    and leaves out empty stretches, where the density is 0.  The kernel is
+    evaluated at the values themselves: distinct values with their counts, each
+    sent to the points it reaches.  The points times their spacing add up to 1.
+    Labels without a bandwidth and missing values are left out.
     """
-    long = _long(labelled(df, label), columns, [label])
     bw = F.create_map(*[F.lit(v) for pair in bandwidth.items() for v in pair])
     width = F.try_element_at(bw, F.col(label).cast("int")).cast("double")
-    spans = long.groupBy(label, "column").agg(
-        F.min("x").alias("lowest"), F.max("x").alias("highest"), F.count(F.lit(1)).alias("n")
-    )
-    spans = spans.select(
-        label,
-        "column",
-        "n",
-        width.alias("bw"),
-        (F.col("lowest") - 3 * width).alias("origin"),
-        ((F.col("highest") - F.col("lowest") + 6 * width) / (nodes - 1)).alias("step"),
-    )
-    place = (F.col("x") - F.col("origin")) / F.col("step")
-    left = F.least(F.floor(F.col("place")), F.lit(nodes - 2))
-    share = F.col("place") - left
-    halves = F.array(
-        F.struct(left.alias("node"), (1 - share).alias("weight")),
-        F.struct((left + 1).alias("node"), share.alias("weight")),
-    )
-    # One span per label and column, whatever the number of loans.
-    weights = (
-        long.join(F.broadcast(spans), [label, "column"])
-        .withColumn("place", place)
-        .select(label, "column", F.inline(halves))
-        .groupBy(label, "column", "node")
-        .agg(F.sum("weight").alias("weight"))
-    )
-    distance = (F.col("at") - F.col("node")) * F.col("step") / F.col("bw")
+    values = _long(labelled(df, label), columns, [label]).groupBy(label, "column", "x").agg(F.count(F.lit(1)).alias("n"))
+    near = values.withColumn("bw", width).filter((F.col("bw") > 0) & ~F.isnan("x"))
+    step, reach = F.col("bw") / steps, DENSITY_REACH * F.col("bw")
+    points = F.sequence(F.ceil((F.col("x") - reach) / step), F.floor((F.col("x") + reach) / step))
+    distance = (F.col("at") * step - F.col("x")) / F.col("bw")
     kernel = F.exp(-0.5 * distance * distance) / (F.col("bw") * math.sqrt(2 * math.pi))
-    return (
-        weights.join(F.broadcast(spans), [label, "column"])
-        .withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))))
-        .groupBy(label, "column", "at")
-        .agg(
-            F.max(F.col("origin") + F.col("at") * F.col("step")).alias("x"),
-            (F.sum(F.col("weight") * kernel) / F.max("n")).alias("density"),
-        )
+    summed = (
+        near.withColumn("at", F.explode(points))
+        .groupBy(label, "column", "at", "bw")
+        .agg(F.sum(F.col("n") * kernel).alias("mass"))
+    )
+    totals = values.groupBy(label, "column").agg(F.sum("n").alias("total"))
+    # One total per label and column, whatever the number of loans.
+    return summed.join(F.broadcast(totals), [label, "column"]).select(
+        label, "column", "at", (F.col("at") * step).alias("x"), (F.col("mass") / F.col("total")).alias("density")
     )
 
 

@@ -1,27 +1,27 @@
 """Exact running totals and quantiles over a value order, without a global sort.
 
 A window ordered by a value over the whole table would run in one task.  Here
-the values are first reduced to distinct ones, then cut into two levels of
-buckets by a fixed monotone function of the value.  Bucket sums are small, so
-their running totals are cheap; each distinct value adds up the totals of the
-buckets before its own and of the values before it inside the bucket.  The
-buckets depend on the value alone: nothing is sampled, and a recomputed task
-gives the same result.
+the values are first reduced to distinct ones, then cut into ranges by
+splitters drawn from the values themselves.  Range sums are few, so their
+running totals are cheap; each distinct value adds up the totals of the ranges
+before its own and of the values before it inside the range.  The splitters are
+the values of least hash, one in each of ``SLOTS`` slots: a sample that depends
+on the data alone, so a recomputed task cuts where the first one did.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanloom.session import materialized
+#: Splitters of a group at most, a square, and those that a search steps over at a time.
+SLOTS, STRIDE = 1024, 32
 
-# Buckets per unit of log(1 + |value|); a coarse bucket has 2**16 fine ones, and
-# there are about 28 * 4096 coarse ones for values up to 1e12.
-COARSE = 1 << 12
-FINE = 1 << 28
 
-
-def _bucket(value: Column, scale: int) -> Column:
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * scale)
+def range_of(value: Column, splitters: Column) -> Column:
+    """How many of the sorted ``splitters`` are below ``value``, found in two steps."""
+    below = lambda part: F.size(F.filter(part, lambda s: s < value))
+    strides = F.transform(F.sequence(F.lit(0), F.floor((F.size(splitters) - 1) / STRIDE).cast("int")), lambda k: F.get(splitters, k * STRIDE))
+    passed = F.greatest(below(strides) - 1, F.lit(0)) * STRIDE
+    return passed + below(F.slice(splitters, passed + 1, F.lit(STRIDE)))
 
 
 def running_totals(
@@ -35,19 +35,17 @@ def running_totals(
 
     For every measure m the result has ``m`` (its sum at that value),
     ``m_before`` (its sum over all earlier values) and ``m_total``.  Rows with a
-    missing or undefined (NaN) value are not counted.
+    missing or undefined (NaN) value, or a missing key, are not counted.
 
-    The distinct values are written to the checkpoint folder when this is called,
-    so that ``df`` is computed only once.
+    ``keys`` are for a few groups (labels, columns, rounds): splitters are
+    broadcast, ``SLOTS`` for each group.  Nothing runs when this is called;
+    ``df`` is shuffled once and its distinct values are read three times.
     """
-    keys, names = list(keys), list(measures)
+    names, group = list(measures), [*keys, "_whole"]
 
     def ordered(col: str) -> Column:
         return F.col(col).desc() if descending else F.col(col).asc()
 
-    def sums() -> list[Column]:
-        return [F.sum(n).alias(n) for n in names]
-
     def before(part: list[str], by: str, suffix: str) -> dict[str, Column]:
         w = Window.partitionBy(*part).orderBy(ordered(by))
         w = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -57,26 +55,24 @@ def running_totals(
         df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*keys, value)
         .agg(*[F.sum(m).alias(n) for n, m in measures.items()])
-        .withColumns({"coarse": _bucket(F.col(value), COARSE), "fine": _bucket(F.col(value), FINE)})
+        .withColumn("_whole", F.lit(0))
+    )
+    hashed = F.xxhash64(F.col(value))
+    drawn = distinct.groupBy(*group, F.pmod(hashed, F.lit(SLOTS)).alias("_slot")).agg(
+        F.min_by(F.col(value), hashed).alias("_splitter"), *[F.sum(n).alias(n) for n in names]
     )
-    # Read three times below; the input is computed once.
-    distinct = materialized(distinct)
-    fine = distinct.groupBy(*keys, "coarse", "fine").agg(*sums())
-    whole = Window.partitionBy(*keys)
-    coarse = (
-        fine.groupBy(*keys, "coarse")
-        .agg(*sums())
-        .withColumns(before(keys, "coarse", "_c") | {n + "_total": F.sum(n).over(whole) for n in names})
-        .drop(*names)
+    groups = drawn.groupBy(*group).agg(
+        F.array_sort(F.collect_list("_splitter")).alias("_splitters"), *[F.sum(n).alias(n + "_total") for n in names]
     )
-    fine = fine.withColumns(before([*keys, "coarse"], "fine", "_f")).drop(*names)
-    rows = distinct.withColumns(before([*keys, "coarse", "fine"], value, "_v"))
-    joined = rows.join(fine.join(coarse, [*keys, "coarse"]), [*keys, "coarse", "fine"])
-    return joined.select(
+    placed = distinct.join(F.broadcast(groups), group).withColumn("_range", range_of(F.col(value), F.col("_splitters")))
+    ranges = placed.groupBy(*group, "_range").agg(*[F.sum(n).alias(n) for n in names])
+    ranges = ranges.withColumns(before(group, "_range", "_r")).drop(*names)
+    rows = placed.drop("_splitters").withColumns(before([*group, "_range"], value, "_v"))
+    return rows.join(ranges, [*group, "_range"]).select(
         *keys,
         value,
         *names,
-        *[(F.col(n + "_c") + F.col(n + "_f") + F.col(n + "_v")).alias(n + "_before") for n in names],
+        *[(F.col(n + "_r") + F.col(n + "_v")).alias(n + "_before") for n in names],
         *[n + "_total" for n in names],
     )
 

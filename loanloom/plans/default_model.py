@@ -64,21 +64,35 @@ def model_rows(
 
 @dataclass(frozen=True)
 class Preparation:
-    """What has to be learnt from the fitting cohort to prepare a later one."""
+    """What has to be learnt from the training rows to prepare them and later ones."""
 
     levels: dict[str, list[str]]
     medians: dict[str, float]
+    gaps: tuple[str, ...]
+
+    @property
+    def indicators(self) -> list[str]:
+        return [X.indicator_name(c, v) for c in CATEGORIES for v in self.levels[c][1:]]
 
     @property
     def feature_names(self) -> list[str]:
-        dummies = [X.indicator_name(c, v) for c in CATEGORIES for v in self.levels[c][1:]]
-        flags = [c + "_missing" for c in self.medians]
-        return [*NUMBERS, *flags, *[c + "_missing" for c in GAPPY], *dummies]
+        """Features of learners that need complete rows."""
+        return [*NUMBERS, *[c + "_missing" for c in (*self.gaps, *GAPPY)], *self.indicators]
+
+    @property
+    def open_names(self) -> list[str]:
+        """Features of learners that take missing numbers as they are."""
+        return [*NUMBERS, *self.indicators]
+
+    def frame(self, rows: DataFrame) -> DataFrame:
+        """Numbers as they are and 0/1 columns."""
+        coded = X.one_hot(rows, CATEGORIES, self.levels)
+        return coded.select("loan_id", F.col("label").cast("int").alias("label"), *self.open_names)
 
     def apply(self, rows: DataFrame) -> DataFrame:
-        """Complete numeric columns, ready to be assembled."""
+        """Complete numeric columns, ready to be assembled; any number that is missing gets the median."""
         flagged = rows.withColumns({c + "_missing": F.col(c).isNull().cast("int") for c in GAPPY})
-        filled = X.median_fill(flagged, list(self.medians), self.medians)
+        filled = X.median_fill(flagged, NUMBERS, self.medians)
         coded = X.one_hot(filled, CATEGORIES, self.levels)
         return coded.select("loan_id", F.col("label").cast("int").alias("label"), *self.feature_names)
 
@@ -88,13 +102,11 @@ class Preparation:
 
 
 def learn_preparation(rows: DataFrame) -> Preparation:
-    """Category levels and medians of the numeric columns that have gaps.
-
-    Spark's trees do not learn a direction for missing values, so gaps are
-    filled with the median and flagged.
-    """
-    gaps = ["cscore_mn", "log_dti"]
-    long = rows.select(*gaps).unpivot([], gaps, "column", "x")
+    """Category levels, medians of the numbers and which of them have gaps, of ``rows`` alone: give the training part."""
+    numbers = rows.select(*[F.col(c).cast("double").alias(c) for c in NUMBERS])
+    long = numbers.unpivot([], NUMBERS, "column", "x")
     medians = quantiles(long, "x", {"median": 0.5}, ("column",)).collect()
     known = {r["column"]: r["median"] for r in medians}
-    return Preparation(X.levels(rows, CATEGORIES), {c: known.get(c, 0.0) for c in gaps})
+    missing = numbers.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in NUMBERS]).first()
+    gaps = tuple(c for c in NUMBERS if missing[c])
+    return Preparation(X.levels(rows, CATEGORIES), {c: known.get(c, 0.0) for c in NUMBERS}, gaps)

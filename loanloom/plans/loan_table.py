@@ -138,5 +138,5 @@ def build_loan_table(
     narrow = perf.drop(*_NOT_KEPT_FROM_PANEL)
     panel = P.prepare_panel(narrow, row_seq, keys)
     closed = closing_measures(P.collapse(panel, keys, big_loan_rows))
-    out = finish_loans(outer_join_unique(prepare_acquisitions(acq, keys), closed, keys))
+    out = finish_loans(outer_join_unique(prepare_acquisitions(acq, keys), closed, keys, big_loan_rows))
     return out if keep_working else out.drop(*_WORKING_COLUMNS)

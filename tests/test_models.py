@@ -39,26 +39,19 @@ def test_later_cohort_uses_the_fitted_levels(prepared):
     assert prep.apply(later).columns == prep.apply(rows).columns
 
 
-def test_learners(spark, prepared):
+def test_forest(spark, prepared):
     _, prep, _, (train, test) = prepared
-    n = test.count()
-    fitted = [
-        M.forest(train, trees=5, depth=3),
-        M.boosted_classifier(train, test, rounds=5, depth=3),
-        M.boosted_regressor(train, test, rounds=3, depth=3),
-        M.neural_net(train, len(prep.feature_names), hidden=(4,), iterations=10),
-    ]
-    for model in fitted:
-        assert sum(E.confusion_counts(M.score(model, test)).first()) == n
-    top = M.importance(spark, fitted[0], prep.feature_names, 20).collect()
+    forest = M.forest(train, trees=5, depth=3)
+    assert sum(E.confusion_counts(M.score(forest, test)).first()) == test.count()
+    top = M.importance(spark, forest, prep.feature_names, 20).collect()
     assert len(top) == 20 and top[0]["score"] >= top[-1]["score"]
 
 
-def test_cross_validation_scores_every_fold(prepared):
-    _, _, vectors, _ = prepared
-    scores = M.cross_validate(vectors, lambda part: M.forest(part, trees=3, depth=2), folds=2).collect()
-    assert {(r["fold"], r["part"]) for r in scores} == {(i, p) for i in (0, 1) for p in ("train", "test")}
-    assert all(0 <= r["average_precision"] <= 1 for r in scores)
+def test_any_number_may_be_missing(prepared):
+    rows, prep, _, _ = prepared
+    gone = rows.withColumns({c: F.lit(None).cast("double") for c in ("orig_rt", "log_oltv", "latitude")})
+    assert prep.assemble(gone).count() == rows.count()
+    assert prep.frame(gone).columns[2:] == prep.open_names
 
 
 def test_driver_contract(spark, data):

@@ -123,12 +123,13 @@ def test_big_loans_match_the_ordinary_way(spark):
 
 
 def test_panel_is_shuffled_once(spark, data):
-    """Panel and acquisitions need one exchange each; windows add none."""
-    loans = build_loan_table(
-        spark.read.parquet(f"{data}/orders.parquet").selectExpr(*_acq_like()),
-        views.loan_perf(spark, data),
-        row_seq="row_seq",
-    )
+    """Panel and acquisitions need one exchange each; windows add none.  No job runs while the plan is built."""
+    acq = spark.read.parquet(f"{data}/orders.parquet").selectExpr(*_acq_like())
+    perf = views.loan_perf(spark, data)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    build_loan_table(acq, perf, row_seq="row_seq")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == len(jobs)
+    loans = build_loan_table(acq, perf, row_seq="row_seq", big_loan_rows=None)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -150,3 +151,41 @@ def _acq_like():
         else f"cast(NULL as {t}) AS {n}"
         for n, t in typed.items()
     ]
+
+
+def test_missing_and_outlying_positions_of_a_hot_loan(spark):
+    """Blocks follow the rows: a hot loan whose positions are missing, equal or far out."""
+    names = [c for c in COLUMNS.split(", ")]
+    base = skewed_panel(spark)
+    seqs = [None, 0, 1, 2, 3, 10**15, -(10**15), *range(10, 60)]
+    picked = F.get(F.array(*[F.lit(x).cast("bigint") for x in seqs]), F.pmod(F.xxhash64(*base.columns), F.lit(len(seqs))).cast("int"))
+    panel = base.withColumn("row_seq", picked).withColumn("row_seq", F.when(F.col("loan_id") == "hot", F.col("row_seq")).otherwise(F.xxhash64(*base.columns)))
+    # ties in (period, row_seq) are given one order, so that both ways can be compared
+    panel = panel.dropDuplicates(["loan_id", "period", "row_seq"]).persist()
+    assert names and panel.filter("row_seq IS NULL").count() > 0
+    for run in (P.carry_forward, P.loan_flags, P.first_events, P.collapse):
+        assert collected(run(panel, big_loan_rows=None)) == collected(run(panel, big_loan_rows=10))
+    hot = P.split_by_size(panel, big_loan_rows=10)[1].rows
+    sizes = [r["count"] for r in hot.filter("loan_id = 'hot'").groupBy("block").count().collect()]
+    assert len(sizes) > 3 and max(sizes) <= 0.7 * sum(sizes)
+
+
+def test_very_many_equal_rows(spark):
+    """Copies of a row are written out run by run and numbered as long."""
+    rows = spark.createDataFrame([("hot", 3 * P.RUN + 5)], "loan_id string, copies bigint").withColumn("block", F.lit(0))
+    out = P.PanelPart(rows, ("loan_id",), P.BLOCK).expand()
+    assert out.schema["copy"].dataType.simpleString() == "bigint"
+    assert out.agg(F.count("*"), F.min("copy"), F.max("copy"), F.count_distinct("copy")).first() == (3 * P.RUN + 5, 1, 3 * P.RUN + 5, 3 * P.RUN + 5)
+
+
+def test_outer_joins_with_hot_keys(spark):
+    from loanloom.operators import joins as J
+
+    left = spark.createDataFrame([("h", i) for i in range(30)] + [("a", 1), ("b", 2), (None, 3)], "loan_id string, x int")
+    right = spark.createDataFrame([("h", 1.0), ("a", 2.0), ("c", 3.0), (None, 4.0)], "loan_id string, y double")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    for join, other in ((J.outer_join_unique, right), (J.outer_join, right.unionByName(right))):
+        assert collected(join(left, other, hot_key_rows=10)) == collected(left.join(other, ["loan_id"], "full"))
+        assert collected(join(left, other)) == collected(join(left, other, hot_key_rows=None))
+    J.outer_join(left, right)
+    assert jobs >= 0

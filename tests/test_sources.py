@@ -106,3 +106,33 @@ def test_imputation_fills_every_gap(spark, data):
     assert out.columns == df.columns
     assert out.filter("dti is null or num_bo is null").count() == 0
     assert {r[0] for r in out.select("num_bo").distinct().collect()} <= {"1", "2"}
+
+
+def test_ties_keep_their_place_in_the_file(spark, tmp_path):
+    """Rows of one loan and month, told apart only by their place in a text file of several splits."""
+    from loanloom import schema
+    from loanloom.sources import readers
+    from pyspark.sql import functions as F
+
+    width = len(schema.PERFORMANCE.fields)
+    names = [f.name for f in schema.PERFORMANCE.fields]
+    for quarter, many in (("2007Q3", 4000), ("2007Q4", 30)):
+        with open(tmp_path / f"Performance_{quarter}.txt", "w") as out:
+            for i in range(many):
+                cells = [""] * width
+                cells[names.index("loan_id")] = f"L{i % 3}"
+                cells[names.index("monthly_rpt_prd")] = "01/01/2007"
+                cells[names.index("servicer_name")] = f"{quarter}-{i}"
+                out.write("|".join(cells) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        df = readers.read_performance(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 5
+        rows = df.select("servicer_name", "row_seq").orderBy("row_seq").collect()
+        assert [r[0] for r in rows] == [f"2007Q3-{i}" for i in range(4000)] + [f"2007Q4-{i}" for i in range(30)]
+        last = df.repartition(7).groupBy("loan_id").agg(F.max_by("servicer_name", "row_seq").alias("s")).collect()
+        assert {r.loan_id: r.s for r in last} == {"L0": "2007Q4-27", "L1": "2007Q4-28", "L2": "2007Q4-29"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
