@@ -24,12 +24,14 @@ from loanloom.llm.common import (
     by_batch,
     components,
     discard,
+    finished,
     fresh,
     membership,
     mixed,
     perhaps,
     saved,
     shingle_hashes,
+    taken,
     utf8,
 )
 
@@ -314,7 +316,8 @@ def keep_one(docs: DataFrame, percent: int = 85, text: str = "text", ident: str
     """
     body = F.col(text).cast("string")
     first = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("digest").alias("digest")))
-    linked = saved(_linked(docs, percent, text, ident).filter("node IS NOT NULL").select("id", "digest", "root"))
+    taken()  # tables of others stay
+    linked = finished(_linked(docs, percent, text, ident).filter("node IS NOT NULL").select("id", "digest", "root"))
     stays = linked.groupBy("root").agg(first.alias("f")).select(F.col("f.id").alias("id"), F.col("f.digest").alias("digest"))
     row = fresh(docs, "row")
     key = lambda i, d: F.xxhash64(i, d).alias(row)

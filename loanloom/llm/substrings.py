@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import by_batch, discard, fresh, membership, perhaps, saved
+from loanloom.llm.common import by_batch, discard, finished, fresh, membership, perhaps, saved, taken
 
 LENGTH = 400
 #: Windows hold this many pieces' lengths at least; shorter pieces find more places that repeat by chance.
@@ -411,7 +411,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
 
     node = fresh(docs, "node")
     kept_text, changed_flag = fresh(docs, "kept_text"), fresh(docs, "changed_flag")
-    found = saved(find_repeats(docs, text, length).select("node", "spans"))
+    taken()  # tables of others stay
+    found = finished(find_repeats(docs, text, length).select("node", "spans"))
     body = F.col(text).cast("string").cast("binary")
     marked = docs.withColumn(node, node_of(text))
     concerned = membership(found.select("node"))

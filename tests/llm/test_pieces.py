@@ -183,26 +183,53 @@ def test_index_is_exact():
         assert np.allclose(index.nearest([query], 15)[0][1], want, atol=1e-6)
 
 
-def test_mix_does_not_depend_on_neighbours_and_beats_uniform():
-    rng = random.Random(6)
-    train = [" ".join(rng.choices(["the", "of", "stone", "river"], k=40)).encode() for _ in range(200)]
-    code = lm.huffman(np.bincount(np.frombuffer(b"\0".join(train), np.uint8), minlength=256))
+def _spelt(seed, n):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(["sto", "ne", "riv", "er", "qu"], k=rng.randrange(1, 5))).encode() for _ in range(n)]
+
+
+def _mixer(words):
+    code = lm.huffman(np.bincount(np.frombuffer(b"\0".join(words), np.uint8), minlength=256))
     mixer = lm.Mixer(code, np.zeros(2 * lm.TOTAL, np.int32))
-    mixer.learn(train)
-    new = [" ".join(rng.choices(["the", "of", "stone", "river"], k=40)).encode() for _ in range(5)] + [b"", b"xqzjw" * 20]
+    mixer.count(words)
+    mixer.learn(words)
+    return mixer
+
+
+def test_spelling_does_not_depend_on_neighbours_and_learns():
+    train = sorted(set(_spelt(6, 3000)))
+    mixer = _mixer(train)
+    new = [*_spelt(7, 50), b"", b"xqzjw" * 20]
     together = mixer.bits(new)
     assert np.allclose(together, [mixer.bits([x])[0] for x in new])
-    assert together[:5].sum() / sum(map(len, new[:5])) < 1.5 < together[6] / 100
+    assert together[:50].sum() / sum(map(len, new[:50])) < 1.5 < together[51] / 100
+    assert lm.K == 4 and (mixer.weights != np.float32(0.4)).any(axis=1).all()
+    plain = lm.Mixer(mixer.code, mixer.counts)  # neither weights nor table learnt
+    assert plain.bits(new[:50]).sum() > together[:50].sum()
 
 
-def test_weights_are_learnt_from_one_small_piece():
-    rng = random.Random(8)
-    train = [" ".join(rng.choices(["the", "of", "stone", "river"], k=40)).encode() for _ in range(20)]
-    code = lm.huffman(np.bincount(np.frombuffer(b"\0".join(train), np.uint8), minlength=256))
-    mixer = lm.Mixer(code, np.zeros(2 * lm.TOTAL, np.int32))
-    mixer.learn(train)
-    assert lm.K == 4 and (mixer.weights != np.float32(0.4)).any(axis=1).all()
-    once = lm.Mixer(code, np.zeros(2 * lm.TOTAL, np.int32))
-    once.count([b"q"])
-    d = lm.decisions([b"q"], code)
-    assert all((once._without(s, d.bit) == 0).all() for s in d.slots)  # nothing but the decision itself was counted
+def test_a_decision_is_predicted_without_itself():
+    mixer = _mixer([b"q"])
+    d = lm.decisions([b"q"], mixer.code)
+    assert all((mixer._odds(s, d.bit) == 0).all() for s in d.slots)
+
+
+def test_text_totals_against_the_definition():
+    """The urn's sequence probability, word after word, averaged over the grid."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 6, 40)
+    n, bits, total = np.array([50, 20, 5, 1, 0, 0.0]), np.array([12.0, 14, 20, 22, 18, 25]), 500
+    times = np.bincount(words, minlength=6)
+    held = times > 0
+    added = lm.mixes(times[held].astype(float), n[held] / total, bits[held])
+    got = lm.totals(added[None], np.array([40.0]))[0]
+    each = []
+    for a in lm.SHARES:
+        p = a * n / total + (1 - a) * np.exp2(-bits)
+        for rate in lm.RATES:
+            seen, log = Counter(), 0.0
+            for k, w in enumerate(words.tolist()):
+                log += np.log((rate * p[w] + seen[w]) / (rate + k))
+                seen[w] += 1
+            each.append(log)
+    assert got == pytest.approx(np.log(np.mean(np.exp(np.array(each) - max(each)))) + max(each), abs=1e-4)
