@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import finished, small_batches, table, taken
+from loanloom.llm.common import saved, table
 from loanloom.llm.neardup import keep_one
 from loanloom.llm.packing import pack
 from loanloom.llm.quality import keep_quality
@@ -55,14 +55,17 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def _stage(function):
-    """``function``, whose result is a table of its own: no working table is needed to read it."""
+    """``function`` with the package on the workers and Arrow batches of 4 MB, which bounds what workers and buffers take.
+
+    Operators remove the large working tables themselves; the small ones that a
+    result still reads stay until the shared folder's owner cleans it.
+    """
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_package(spark)
-        taken()  # tables of others stay
-        with small_batches(spark):
-            return finished(function(spark, docs, sf_dir))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+        return function(spark, docs, sf_dir)
 
     return run_stage
 
@@ -82,6 +85,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each result is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
