@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loanloom.llm import fim
+from loanloom.llm import fim, oracles
 from loanloom.llm.ann import nearest_vectors
 from loanloom.llm.bpe import round_trip_digests
 from loanloom.llm.common import finished, small_batches, table, taken
@@ -130,4 +130,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op12_fim": fim.SQL}
+    return {
+        "op2_quality": oracles.QUALITY,
+        "op3_near_duplicates": oracles.NEAR_DUPLICATES,
+        "op6_embeddings": oracles.EMBEDDING_LINKS,
+        "op12_fim": fim.SQL,
+    }
