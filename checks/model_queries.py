@@ -195,6 +195,34 @@ def indicator_totals(spark, d):
     return sums.unpivot([], coded.columns, "feature", "n")
 
 
+_SPARSE = ["zip_3", "state", "seller_name", *_CODED]
+
+
+@register(
+    "sparse_indicators",
+    oracle(
+        "SELECT loan_id, string_agg(name, ',' ORDER BY name) AS ones, CAST(max(places) AS BIGINT) AS places FROM (SELECT a.loan_id, f.name, "
+        "(SELECT count(*) FROM feature) AS places FROM acq a LEFT JOIN cell c ON a.loan_id = c.loan_id LEFT JOIN feature f ON c.col = f.col AND c.v = f.v) GROUP BY 1",
+        "acq",
+        extra={
+            "cell": " UNION ALL ".join(f"SELECT loan_id, '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM acq WHERE {c} IS NOT NULL" for c in _SPARSE),
+            "feature": """SELECT col, v, col || '_' || regexp_replace(v, '[^0-9A-Za-z]+', '_', 'g') AS name FROM
+                (SELECT DISTINCT col, v FROM cell) QUALIFY row_number() OVER (PARTITION BY col ORDER BY v) > 1""",
+        },
+        stored=True,
+    ),
+)
+def sparse_indicators(spark, d):
+    df = acq(spark, d).select("loan_id", *_SPARSE)
+    model = X.sparse_indicators(df, _SPARSE)
+    names = F.array(*[F.lit(n) for n in model.names])
+    ones = F.filter(F.transform(vector_to_array("indicators"), lambda x, k: F.when(x == 1, F.get(names, k))), lambda x: x.isNotNull())
+    joined = F.array_join(F.array_sort(ones), ",")
+    return model.transform(df).select(
+        "loan_id", F.when(F.size(ones) > 0, joined).alias("ones"), F.lit(len(model.names)).cast("long").alias("places")
+    )
+
+
 @register(
     "indicators_of_complete_columns",
     oracle(

@@ -1,9 +1,10 @@
 """Feature preparation: indicators, splits, imputation, assembly."""
 
 import re
+from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,59 @@ def one_hot(
     return df.select(*[c for c in df.columns if c not in columns], *dummies)
 
 
+@dataclass(frozen=True)
+class SparseIndicators:
+    """A fitted encoder into one sparse 0/1 vector, for columns of any number of levels.
+
+    The first level of each column, missing values and levels that the fitting
+    rows lack have only zeros; a column with one level has no place.  ``names``
+    tells what each place of the vector stands for.
+    """
+
+    columns: tuple[str, ...]
+    levels: dict[str, list[str]]  # from the last down to the first
+    indexer: object
+    coder: object
+
+    @property
+    def names(self) -> list[str]:
+        return [indicator_name(c, v) for c in self.columns for v in self.levels[c][:-1]]
+
+    def transform(self, df: DataFrame, output: str = "indicators") -> DataFrame:
+        """``df`` with the vector."""
+        texts = {f"_{k}_text": F.col(c).cast("string") for k, c in enumerate(self.columns)}
+        indexed = self.indexer.transform(df.withColumns(texts))
+        # unseen and missing values share the place of the first level, which is left out
+        last = {f"_{k}_place": F.least(F.col(f"_{k}_place"), F.lit(float(len(self.levels[c]) - 1))) for k, c in enumerate(self.columns)}
+        vectors = self.coder.transform(indexed.withColumns(last))
+        return (
+            VectorAssembler(inputCols=[f"_{k}_vector" for k in range(len(self.columns))], outputCol=output)
+            .transform(vectors)
+            .select(*df.columns, output)
+        )
+
+
+def sparse_indicators(df: DataFrame, columns: list[str]) -> SparseIndicators:
+    """Fits :class:`SparseIndicators`; the levels, one text for each, become part of the model on the driver."""
+    seen = df.agg(*[F.count_distinct(F.col(c).cast("string")).alias(c) for c in columns]).first()
+    columns = [c for c in columns if seen[c] > 1]
+    if not columns:
+        raise ValueError("no column has two levels")
+    many = range(len(columns))
+    texts = df.select(*[F.col(c).cast("string").alias(f"_{k}_text") for k, c in enumerate(columns)])
+    # from the last level down, so that the place that is left out is the first level's
+    indexer = StringIndexer(
+        inputCols=[f"_{k}_text" for k in many], outputCols=[f"_{k}_place" for k in many],
+        handleInvalid="keep", stringOrderType="alphabetDesc",
+    ).fit(texts)
+    found = {c: list(labels) for c, labels in zip(columns, indexer.labelsArray)}
+    top = [F.lit(float(len(found[c]) - 1)).alias(f"_{k}_place") for k, c in enumerate(columns)]
+    coder = OneHotEncoder(
+        inputCols=[f"_{k}_place" for k in many], outputCols=[f"_{k}_vector" for k in many], dropLast=True
+    ).fit(df.sparkSession.range(1).select(*top))
+    return SparseIndicators(tuple(columns), found, indexer, coder)
+
+
 def complete_text_columns(df: DataFrame) -> tuple[list[str], list[str]]:
     """Text columns without missing values, and all columns with some."""
     nulls = {r["column"]: r["nulls"] for r in missing_counts(df).collect()}

@@ -24,6 +24,12 @@ def range_of(value: Column, splitters: Column) -> Column:
     return passed + below(F.slice(splitters, passed + 1, F.lit(STRIDE)))
 
 
+def _undefined(df: DataFrame, value: str) -> Column:
+    """NaN; texts and dates are never undefined."""
+    floating = df.schema[value].dataType.simpleString() in ("double", "float")
+    return F.isnan(F.col(value)) if floating else F.lit(False)
+
+
 def running_totals(
     df: DataFrame,
     value: str,
@@ -52,7 +58,7 @@ def running_totals(
         return {n + suffix: F.coalesce(F.sum(n).over(w), F.lit(0)) for n in names}
 
     distinct = (
-        df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+        df.filter(F.col(value).isNotNull() & ~_undefined(df, value))
         .groupBy(*keys, value)
         .agg(*[F.sum(m).alias(n) for n, m in measures.items()])
         .withColumn("_whole", F.lit(0))

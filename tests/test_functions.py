@@ -182,3 +182,23 @@ def test_net_loss_identity_and_totals(spark, data):
     book = reports.workbook(loans)
     assert len(book) == 10 and all(r.count() for r in book.values())
     loans.unpersist()
+
+
+def test_sparse_indicators_of_very_many_levels(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from loanloom.operators.features import sparse_indicators
+
+    df = spark.range(100_000).selectExpr("id", "concat('v', lpad(id, 6, '0')) AS wide", "CASE WHEN id % 2 = 0 THEN 'b' ELSE 'a' END AS few", "'x' AS one")
+    model = sparse_indicators(df, ["wide", "few", "one"])
+    assert len(model.names) == 99_999 + 1 and model.columns == ("wide", "few")
+    later = spark.createDataFrame(
+        [(0, "v000000", "a", "x"), (1, "v000007", "b", "y"), (2, "unseen", None, None), (3, None, "c", "x")], "id long, wide string, few string, one string"
+    )
+    out = model.transform(later)
+    assert out.columns == ["id", "wide", "few", "one", "indicators"]
+    found = {r.id: r.indicators for r in out.collect()}
+    assert found[0].size == 100_000 and found[0].indices.tolist() == []
+    assert [model.names[k] for k in found[1].indices] == ["wide_v000007", "few_b"] and set(found[1].values) == {1.0}
+    assert found[2].indices.tolist() == found[3].indices.tolist() == []
+    assert out.select(vector_to_array("indicators").alias("a")).selectExpr("max(size(a))").first()[0] == 100_000
