@@ -8,10 +8,10 @@ Edges above the threshold join vectors into components.  Where lists were ever
 saturated a link may have found no room, so components with such lists are
 compared with each other: centre with centre, and where threshold and radii let
 them meet, member with member.  Inside a component every pair is compared in
-double precision, block by block.  The vectors
-whose ids 100 divides are compared with all others to audit the recall, more of
-them where these have too few links to tell.  The refinement goes on until the
-recall is good enough; if it does not get there, all pairs are compared.
+double precision, block by block.  The A
+bounded number of vectors, some drawn from all and some from those that have
+links, are compared with all others to audit the recall.  The refinement goes on until the recall is good
+enough; if it does not get there, all pairs are compared.
 """
 
 from __future__ import annotations
@@ -35,10 +35,8 @@ TABLES, BUCKET, BLOCK = 6, 64, 512
 SHARED = 0.9
 #: Refinements before the first audit, and in all.
 ROUNDS, MOST_ROUNDS = 2, 8
-#: The audit's queries are the ids that this divides, the links that make it conclusive, the recall that it asks for.
-QUERIES, TELLING, RECALL = 100, 50, 0.99
-#: Vectors in a row of the audit's join.
-ROWS = 2048
+#: The audit draws from all vectors and from those with links, so many of each at most; the recall that it asks for.
+AUDITED, RECALL = 2048, 0.99
 SEED = 20_240_611
 
 
@@ -327,45 +325,36 @@ def links_inside(clusters: DataFrame, nodes: DataFrame, threshold: float) -> tup
     return saved(links), saved(components(found.filter("b IS NOT NULL").select("a", "b")))
 
 
-def _blocks(nodes: DataFrame, many: int, salt: int) -> DataFrame:
-    """``(size, block, members)``: the vectors of each length dealt to ``many`` blocks."""
-    block = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(many))
-    member = F.struct("node", "vector", "copies")
-    return nodes.groupBy(F.length("vector").alias("size"), block.alias("block")).agg(F.collect_list(member).alias("members"))
+def audit_queries(nodes: DataFrame, links: DataFrame) -> list[tuple[int, bytes]]:
+    """At most ``AUDITED`` vectors of all, and as many of those that have links: those of least hash."""
+    drawn = [
+        part.orderBy(F.xxhash64("node"), "node").select("node", "vector").limit(AUDITED)
+        for part in (nodes, nodes.join(links.filter("n_links > 0"), "node", "left_semi"))
+    ]
+    return sorted({(r.node, bytes(r.vector)) for r in drawn[0].union(drawn[1]).collect()})
 
 
-def true_links(queries: DataFrame, nodes: DataFrame, threshold: float, n_queries: int, total: int) -> DataFrame:
-    """``(node, n)``: the links of every query that has any, from all pairs of a query and a node."""
-    ours = saved(_blocks(queries, -(-n_queries // BLOCK) or 1, 1).withColumnRenamed("members", "queries").drop("block"))
-    all_nodes = saved(_blocks(nodes, -(-total // ROWS) or 1, 2).drop("block"))
-    # a row is a block on either side; the join makes one row for each pair of blocks
-    work = all_nodes.join(ours, "size").select("queries", "members")
+def true_links(queries: list[tuple[int, bytes]], nodes: DataFrame, threshold: float) -> DataFrame:
+    """``(node, n)``: the links of every query that has any, from a pass that compares each node with all of them."""
+    held = nodes.sparkSession.sparkContext.broadcast(queries)  # 2 * AUDITED vectors at most
 
     def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
-        node, n = [], []
-        for k in range(rows.num_rows):
-            own, others = (rows.column(c)[k].as_py() for c in range(2))
-            close = _matrix(own, np.float64) @ _matrix(others, np.float64).T >= threshold
-            close &= np.array([m["node"] for m in own])[:, None] != np.array([m["node"] for m in others])[None, :]
-            links = close @ np.array([m["copies"] for m in others], np.int64)
-            at = np.flatnonzero(links).tolist()
-            node += [own[i]["node"] for i in at]
-            n += links[at].tolist()
-        return _rows("node n", [L, L], [node, n])
-
-    return saved(by_batch(work, compare, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")))
-
-
-def audited(nodes: DataFrame, total: int, threshold: float) -> DataFrame:
-    """The true links of the ids that QUERIES divides; of ten times as many until they tell, at last of all."""
-    step, rest = QUERIES, F.pmod(F.coalesce(F.expr("try_cast(least AS bigint)"), F.col("node")), F.lit(QUERIES))
-    while True:
-        queries = nodes.filter(rest < QUERIES // step)
-        n_queries = queries.count()
-        true = true_links(queries, nodes, threshold, n_queries, total)
-        if n_queries == total or (true.agg(F.sum("n")).first()[0] or 0) >= TELLING:
-            return true
-        step = max(1, step // 10)
+        found: dict[int, int] = {}
+        node, raw, copies = (rows.column(k).to_pylist() for k in range(3))
+        for size in {len(v) for v in raw}:
+            at = [i for i, v in enumerate(raw) if len(v) == size]
+            asked = [q for q in held.value if len(q[1]) == size]
+            if not asked:
+                continue
+            x, y = (np.frombuffer(b"".join(v), np.float64).reshape(-1, size // 8) for v in ([q[1] for q in asked], [raw[i] for i in at]))
+            close = x @ y.T >= threshold
+            close &= np.array([q[0] for q in asked])[:, None] != np.array([node[i] for i in at])[None, :]
+            for q, n in zip(asked, (close @ np.array([copies[i] for i in at], np.int64)).tolist()):
+                if n:
+                    found[q[0]] = found.get(q[0], 0) + n
+        return _rows("node n", [L, L], [list(found), list(found.values())])
+
+    return saved(by_batch(nodes.select("node", "vector", "copies"), compare, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")))
 
 
 def recall(true: DataFrame, links: DataFrame) -> float:
@@ -402,7 +391,7 @@ def link_vectors(
         .agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.min("vector").alias("vector"))
     )
     total = nodes.count()
-    true = audited(nodes, total, threshold)
+    true = None
     edges = saved(_lists(first_graph(nodes, total, threshold), None, threshold))
     done = 0
     while True:
@@ -411,6 +400,8 @@ def link_vectors(
             edges = saved(_lists(edges.select("a", "b", "cosine").union(found), edges.select("a", "length").distinct(), threshold))
             done += 1
         links, roots = exact_links(edges, nodes, threshold)
+        if true is None:
+            true = true_links(audit_queries(nodes, links), nodes, threshold)
         if recall(true, links) >= RECALL:
             break
         if done >= MOST_ROUNDS:
