@@ -4,9 +4,11 @@ from functools import lru_cache
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks.boosting_sql import boosted, draw
 from checks.registry import acq, closing_codes, labelled_rows, oracle, r, register, tidy
+from loanloom import schema
 from loanloom.functions import loan as L
 from loanloom.operators import boosting as BOOST
 from loanloom.operators import curves as C
@@ -223,19 +225,30 @@ def sparse_indicators(spark, d):
     )
 
 
+#: Texts of the acquisitions that are no categories: ids and dates, which become numbers.
+_NO_CATEGORIES = ["loan_id", "orig_dte", "frst_dte"]
+_MAYBE = [f.name for f in schema.ACQUISITION.fields if isinstance(f.dataType, T.StringType) and f.name not in _NO_CATEGORIES]
+
+
 @register(
     "indicators_of_complete_columns",
     oracle(
-        "SELECT loan_id, num_bo, " + _dummies(["fthb_flg", "purpose", "occ_stat"], "acq"),
+        """SELECT col || '_' || regexp_replace(v, '[^0-9A-Za-z]+', '_', 'g') AS feature, n FROM level WHERE col IN (SELECT col FROM full_column)
+        QUALIFY row_number() OVER (PARTITION BY col ORDER BY v) > 1
+        UNION ALL SELECT 'gaps of ' || col, (SELECT count(*) FROM acq) - sum(n) FROM level WHERE col NOT IN (SELECT col FROM full_column) GROUP BY 1""",
         "acq",
+        extra={
+            "level": " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS v, count(*) AS n FROM acq WHERE {c} IS NOT NULL GROUP BY 2" for c in _MAYBE),
+            "full_column": "SELECT col FROM level GROUP BY 1 HAVING sum(n) = (SELECT count(*) FROM acq)",
+        },
     ),
 )
 def indicators_of_complete_columns(spark, d):
-    df = acq(spark, d).select("loan_id", "fthb_flg", "purpose", "occ_stat", "num_bo")
-    complete, gappy = X.complete_text_columns(df.drop("loan_id"))
-    return X.one_hot(df, complete).select(
-        "loan_id", *gappy, *[X.indicator_name(c, v) for c in complete for v in _CODED[c]]
-    )
+    """Every text column without gaps as indicators, summed; of the others, how many rows lack them."""
+    texts = acq(spark, d).select(*_MAYBE)
+    coded = X.one_hot_complete(texts)
+    sums = coded.agg(*[(F.count_if(F.col(c).isNull()) if c in _MAYBE else F.sum(c)).alias(f"gaps of {c}" if c in _MAYBE else c) for c in coded.columns])
+    return sums.unpivot([], sums.columns, "feature", "n")
 
 
 @register(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.registry import acq, closing_codes, combined, loans, oracle, panel, perf, r, register, sql_day, sql_month, text, tidy
+from loanloom import schema
 from loanloom.functions import dates as D
 from loanloom.functions import loan as L
 from loanloom.functions.nulls import is_in
@@ -242,26 +243,26 @@ def combined_table_query(spark, d):
     return combined(spark, d)
 
 
-_OVERLAP = """SELECT coalesce(x.loan_id, y.loan_id) AS loan_id, x.orig_dte AS orig_dte_x, x.purpose AS purpose_x,
-  y.orig_dte AS orig_dte_y, y.purpose AS purpose_y,
-  CASE WHEN y.loan_id IS NULL THEN 'left_only' WHEN x.loan_id IS NULL THEN 'right_only' ELSE 'both' END AS side
-  FROM x FULL JOIN y ON x.loan_id = y.loan_id"""
+_OVERLAP = """SELECT loan_id, * EXCLUDE (loan_id), CASE WHEN in_y IS NULL THEN 'left_only' WHEN in_x IS NULL THEN 'right_only' ELSE 'both' END AS side
+  FROM x FULL JOIN y USING (loan_id)"""
+_COHORT = [f.name for f in schema.ACQUISITION.fields if f.name != "loan_id"]
+
+
+def _side(s: str, years: str) -> str:
+    return f"SELECT loan_id, {', '.join(f'{c} AS {c}_{s}' for c in _COHORT)}, true AS in_{s} FROM acq WHERE substr(orig_dte, 4, 4) {years}"
 
 
 @register(
     "cohort_overlap",
     oracle(
-        _OVERLAP,
+        f"SELECT * EXCLUDE (in_x, in_y) FROM ({_OVERLAP})",
         "acq",
-        extra={
-            "x": "SELECT loan_id, orig_dte, purpose FROM acq WHERE substr(orig_dte, 4, 4) <= '1998'",
-            "y": "SELECT loan_id, orig_dte, purpose FROM acq WHERE substr(orig_dte, 4, 4) >= '1998'",
-        },
+        extra={"x": _side("x", "<= '1998'"), "y": _side("y", ">= '1998'")},
     ),
 )
 def cohort_overlap_query(spark, d):
     year = F.substring("orig_dte", 4, 4)
-    loans_ = acq(spark, d).select("loan_id", "orig_dte", "purpose")
+    loans_ = acq(spark, d).select("loan_id", *_COHORT)
     return cohort_overlap(loans_.filter(year <= "1998"), loans_.filter(year >= "1998"))
 
 
@@ -312,14 +313,21 @@ _loan_fields(
     ["c_modir_cost", "c_modfb_cost", "modir_total", "modfb_total", "modfg_cost", "modtot_cost"],
     places=7,
 )
+#: The loan table's fields by kind; the others are numbers.
+_LOAN_TEXTS = """orig_chn orig_dte frst_dte num_bo fthb_flg purpose prop_typ num_unit occ_stat state zip_3 relocation_flg msa mod_flag
+    zero_bal_code lpi_dte repch_flag transfer_flg last_stat vin_yr act_yr disp_yr""".split()
+_LOAN_DAYS = "fcc_dte disp_dt fmod_dte fce_dte f180_dte last_dte".split()
+_LOAN_COUNTS = "orig_trm modtrm_chng modupb_chng zb2disp".split()
+_LOAN_NUMBERS = """orig_rt orig_amt oltv ocltv dti cscore_b mi_pct cscore_c mi_type cscore_mn orig_val last_rt fcc_cost pp_cost ar_cost
+    ie_cost tax_cost ns_procs ce_procs rmw_procs o_procs modfg_cost c_modfb_cost fmod_upb fce_upb f180_upb last_upb non_int_upb
+    fin_upb int_cost net_loss net_sev total_cost tot_procs tot_liq_ex c_modir_cost modir_total modfb_total""".split()
 _loan_fields(
     "loan_table",
-    f"""orig_chn, purpose, state, {r('orig_amt', 'orig_rt', 'orig_val', 'cscore_mn', 'last_upb', 'non_int_upb', 'net_loss', 'total_cost', 'fce_upb', places=7)},
-    last_stat, mod_flag, vin_yr, disp_yr, {_dbl('modtrm_chng', 'modupb_chng')}, {_MODTOT}""",
-    ["orig_chn", "purpose", "state", "orig_amt", "orig_rt", "orig_val", "cscore_mn", "last_upb", "non_int_upb", "net_loss",
-     "total_cost", "fce_upb", "last_stat", "mod_flag", "vin_yr", "disp_yr", "modtrm_chng", "modupb_chng", "modtot_cost"],
-    places=7,
-    doubles=("modtrm_chng", "modupb_chng"),
+    f"""{', '.join(_LOAN_TEXTS)}, {text(*_LOAN_DAYS)}, {_dbl(*_LOAN_COUNTS)}, {r(*_LOAN_NUMBERS, places=6)},
+    round(-prin_forg, 6) + 0.0e0 AS prin_forg_upb, {_MODTOT.replace('7', '6')}""",
+    [*_LOAN_TEXTS, *_LOAN_DAYS, *_LOAN_COUNTS, *_LOAN_NUMBERS, "prin_forg_upb", "modtot_cost"],
+    places=6,
+    doubles=tuple(_LOAN_COUNTS),
 )
 
 

@@ -149,10 +149,9 @@ def historical_net_loss_by_disposition(spark, d):
 @register(
     "transposed_loss_report",
     oracle(
-        """SELECT measure, round(max(CASE WHEN vin_yr = 'Total' THEN value END), 4) + 0.0e0 AS Total,
-             round(max(CASE WHEN vin_yr = '1996' THEN value END), 4) + 0.0e0 AS "1996",
-             round(max(CASE WHEN vin_yr = '1997' THEN value END), 4) + 0.0e0 AS "1997"
-           FROM (UNPIVOT (SELECT * REPLACE (CAST(loan_count AS DOUBLE) AS loan_count) FROM report)
+        "SELECT measure, "
+        + ", ".join(f"""round(max(CASE WHEN vin_yr = '{k}' THEN value END), 4) + 0.0e0 AS "{k}" """ for k in ["Total", *range(1995, 2002)])
+        + """, round(max(CASE WHEN vin_yr IS NULL THEN value END), 4) + 0.0e0 AS "None" FROM (UNPIVOT (SELECT * REPLACE (CAST(loan_count AS DOUBLE) AS loan_count) FROM report)
                  ON COLUMNS(* EXCLUDE vin_yr) INTO NAME measure VALUE value) GROUP BY measure""",
         "loans",
         extra={
@@ -163,9 +162,10 @@ def historical_net_loss_by_disposition(spark, d):
 )
 def transposed_loss_report(spark, d):
     report = V.historical_net_loss(loans(spark, d), "vin_yr")
-    return tidy(V.transpose(report, "vin_yr", columns=["1996", "1997", "Total"]), places=4)
+    return tidy(V.transpose(report, "vin_yr"), places=4)
 
 
+#: All vintages of the driver's tables; the reports find them by themselves.
 _YEARS = [str(y) for y in range(1995, 2002)]
 _BUCKET = """CASE WHEN cscore_mn IS NULL THEN 'MissingFICO' WHEN cscore_mn < 0 THEN 'NA' WHEN cscore_mn < 620 THEN '[0-620)'
   WHEN cscore_mn < 660 THEN '[620-660)' WHEN cscore_mn < 700 THEN '[660-700)' WHEN cscore_mn < 740 THEN '[700-740)'
@@ -184,17 +184,17 @@ def _crosstab(row: str, expr: str) -> str:
 
 @register("purpose_by_vintage", _crosstab("purpose", "purpose"))
 def purpose_by_vintage(spark, d):
-    return V.purpose_by_vintage(loans(spark, d), _YEARS)
+    return V.purpose_by_vintage(loans(spark, d))
 
 
 @register("occupancy_by_vintage", _crosstab("occ_stat", "occ_stat"))
 def occupancy_by_vintage(spark, d):
-    return V.occupancy_by_vintage(loans(spark, d), _YEARS)
+    return V.occupancy_by_vintage(loans(spark, d))
 
 
 @register("fico_by_vintage", _crosstab("fico_bkt", _BUCKET))
 def fico_by_vintage(spark, d):
-    return V.fico_by_vintage(loans(spark, d), _YEARS)
+    return V.fico_by_vintage(loans(spark, d))
 
 
 @register(

@@ -202,3 +202,22 @@ def test_sparse_indicators_of_very_many_levels(spark):
     assert [model.names[k] for k in found[1].indices] == ["wide_v000007", "few_b"] and set(found[1].values) == {1.0}
     assert found[2].indices.tolist() == found[3].indices.tolist() == []
     assert out.select(vector_to_array("indicators").alias("a")).selectExpr("max(size(a))").first()[0] == 100_000
+
+
+def test_density_is_one(spark):
+    """Every curve's points times their spacing add up to 1, whatever the range of the values."""
+    import random
+
+    from loanloom.operators.profile import density
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(2), rng.uniform(0, 400_000), rng.gauss(6, 0.3), rng.choice([180.0, 360.0]), None) for _ in range(500)]
+    df = spark.createDataFrame(rows + [(None, 1.0, 1.0, 1.0, 1.0)], "label int, wide double, narrow double, two double, none double")
+    out = density(df, ["wide", "narrow", "two", "none"], {0: 0.2, 1: 2.0})
+    areas = {(r["label"], r["column"]): (r["area"], r["n"]) for r in out.groupBy("label", "column").agg(
+        F.sum(F.col("density") * F.when(F.col("label") == 0, 0.1).otherwise(1.0)).alias("area"), F.count("*").alias("n")
+    ).collect()}
+    assert set(areas) == {(y, c) for y in (0, 1) for c in ("wide", "narrow", "two")}
+    assert all(abs(a - 1) < 1e-6 for a, _ in areas.values())
+    # two values far apart: no points in between
+    assert areas[(0, "two")][1] < 60

@@ -189,3 +189,14 @@ def test_outer_joins_with_hot_keys(spark):
         assert collected(join(left, other)) == collected(join(left, other, hot_key_rows=None))
     J.outer_join(left, right)
     assert jobs >= 0
+
+
+def test_reports_read_the_closing_fields_they_need(spark, data):
+    """Counting statuses carries two closing fields, not the whole row."""
+    from checks.registry import loans
+    from loanloom.plans.reports import status_counts
+
+    plan = status_counts(loans(spark, data))._jdf.queryExecution().optimizedPlan().toString()
+    collapsed = [line for line in plan.splitlines() if "Aggregate [loan_id" in line and "is_last" in line]
+    assert collapsed and all(line.count("is_last") <= 2 * 2 for line in collapsed)
+    assert "fcc_cost" not in plan.split("Relation")[0]
