@@ -193,13 +193,10 @@ def fit_cutoffs(
     return each.groupBy("stratum").pivot("rule", [r.name for r in RULES]).agg(best)
 
 
-def _known(labels: DataFrame) -> DataFrame:
-    return labels.select(F.col("doc_id").alias("id"), "quality").groupBy("id").agg(F.min("quality").alias("quality"))
-
-
 def _cutoffs(measured: DataFrame, labels: DataFrame, risk: float, error: float) -> DataFrame:
     """``measured``: id, stratum and the measures."""
-    return fit_cutoffs(measured.join(_known(labels), "id"), risk, error)
+    known = labels.select(F.col("doc_id").alias("id"), "quality").groupBy("id").agg(F.min("quality").alias("quality"))
+    return fit_cutoffs(measured.join(known, "id"), risk, error)
 
 
 def _reason() -> Column:
@@ -245,11 +242,11 @@ def keep_quality(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error:
     """The rows of ``docs`` that :func:`apply_quality` keeps, with their columns.
 
     Nulls, repeated rows, ids labelled twice and empty texts are judged as
-    there; whole texts are measured, however long, labelled ones for the cutoffs
-    too.  Columns of any name are handed through.
+    there; whole texts are measured, however long.  Columns of any name are
+    handed through.
     """
-    texts = docs.select(F.col("doc_id").alias("id"), stratum().alias("stratum"), "text").join(_known(labels), "id")
-    cutoffs = saved(fit_cutoffs(with_measures(texts, name="m").select("stratum", "quality", "m.*"), risk, error))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"))
     measured = with_measures(rows, name="m").select("doc", "m", stratum("doc.lang").alias("stratum"))
+    # the measures are taken twice: to write the texts, or to shuffle the labelled ones, takes more disk
+    cutoffs = saved(_cutoffs(measured.select(F.col("doc.doc_id").alias("id"), "stratum", "m.*"), labels, risk, error))
     return _with_cutoffs(measured, cutoffs).filter(_reason().isNull()).select("doc.*")
