@@ -221,8 +221,9 @@ def test_text_totals_against_the_definition():
     n, bits, total = np.array([50, 20, 5, 1, 0, 0.0]), np.array([12.0, 14, 20, 22, 18, 25]), 500
     times = np.bincount(words, minlength=6)
     held = times > 0
-    added = lm.mixes(times[held].astype(float), n[held] / total, bits[held])
-    got = lm.totals(added[None], np.array([40.0]))[0]
+    alone = np.zeros(held.sum(), np.int64)
+    added = lm.mixes(alone, 1, times[held].astype(float), n[held] / total, bits[held])
+    got = lm.totals(added, np.array([40.0]))[0]
     each = []
     for a in lm.SHARES:
         p = a * n / total + (1 - a) * np.exp2(-bits)
