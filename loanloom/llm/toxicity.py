@@ -150,6 +150,8 @@ class Index:
                 break
             for b in np.flatnonzero(asked.any(axis=0)).tolist():
                 who = np.flatnonzero(asked[:, b])
+                if 2 * len(who) > many:  # the product for all costs less than to gather most
+                    who = slice(None)
                 cosines[who, b * BLOCK : (b + 1) * BLOCK] = table[who] @ self.weights[b]
             if without is not None:
                 cosines[self.example_at(without)] = 0
