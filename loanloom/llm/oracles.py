@@ -91,3 +91,66 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 QUALITY = _quality()
+
+
+#: crc32 of ASCII text ``{0}``, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({0}) + 1), lambda p: CAST(ascii(substr({0}, p, 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z:
+    CASE WHEN a % 2 = 1 THEN xor(a // 2, CAST(3988292384 AS BIGINT)) ELSE a // 2 END)), CAST(4294967295 AS BIGINT))"""
+_BARE = "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+#: Up to two empty turns behind a label; a third would only bring back the role of the first.
+_INSERTED = """
+SELECT conv_id, i, q, cost, audit, written FROM {0}
+UNION ALL SELECT conv_id, i, w, cost + 3, audit || 'I', list_append(written, name || ':') FROM {0} JOIN follows USING (q)
+UNION ALL SELECT conv_id, i, v.w, cost + 6, audit || 'II', list_append(list_append(written, u.name || ':'), v.name || ':')
+  FROM {0} JOIN follows u USING (q) JOIN follows v ON u.w = v.q
+"""
+
+CONVERSATIONS = f"""
+WITH RECURSIVE follows(q, w, name) AS (VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), drawn AS (SELECT *, {_CRC32.format('key')} % 20 AS draw FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+    CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE draw WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM drawn
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS place, {_BARE} AS bare FROM damaged
+), faulty AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) || left(role, 1) AS pair FROM ordered
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY 1
+), every AS (SELECT DISTINCT conv_id FROM conversations
+), start AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, '' AS q, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS written FROM every
+), label(conv_id, i, q, cost, audit, written) AS (
+  SELECT * FROM ({_INSERTED.format('start')})
+  UNION ALL
+  SELECT * FROM (
+    WITH edited AS (
+      SELECT l.conv_id, l.i + 1 AS i, unnest([
+        {{'q': l.q, 'cost': l.cost + 4, 'audit': l.audit || 'D', 'written': l.written}},
+        CASE WHEN fault NOT IN ('blank', 'duplicate') AND (left(role, 1) = f.w OR (l.q = '' AND left(role, 1) = 's'))
+          THEN {{'q': left(role, 1), 'cost': l.cost + CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'audit': l.audit || 'K',
+                'written': list_append(l.written, role || ':' || text)}} END,
+        CASE WHEN fault NOT IN ('blank', 'duplicate')
+          THEN {{'q': f.w, 'cost': l.cost + 3 + CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'audit': l.audit || 'R',
+                'written': list_append(l.written, f.name || ':' || text)}} END]) AS e
+      FROM label l JOIN follows f ON l.q = f.q JOIN faulty r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.place = l.i + 1
+    ), flat AS (SELECT conv_id, i, e.q AS q, e.cost AS cost, e.audit AS audit, e.written AS written FROM edited WHERE e IS NOT NULL
+    ), grown AS ({_INSERTED.format('flat')})
+    SELECT conv_id, i, q, cost, audit, written FROM grown QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) = 1
+  )
+), best AS (
+  SELECT l.conv_id, cost, audit, written FROM label l LEFT JOIN counted c ON l.conv_id IS NOT DISTINCT FROM c.conv_id
+  WHERE l.i = coalesce(n, 0) AND q IN ('', 'a') QUALIFY row_number() OVER (PARTITION BY l.conv_id ORDER BY cost, audit) = 1
+)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(array_to_string(written, chr(10))) AS repaired_sha256
+FROM best b LEFT JOIN counted c ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -135,4 +135,5 @@ def all_oracles() -> dict[str, str]:
         "op3_near_duplicates": oracles.NEAR_DUPLICATES,
         "op6_embeddings": oracles.EMBEDDING_LINKS,
         "op12_fim": fim.SQL,
+        "op13_conversations": oracles.CONVERSATIONS,
     }
