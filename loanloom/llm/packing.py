@@ -27,10 +27,8 @@ from loanloom.llm.pretokens import split
 
 #: Parts that the documents of one length are dealt to for ranking.
 PARTS = 4096
-#: The linear program ends when its value is within this share of the bound.
+#: The linear program ends when its value is within this share of a bound.
 GAP = 1e-3
-#: and after so many patterns at the latest; the plan is whole and valid at any of them.
-ROUNDS = 400
 #: Pre-tokens that a worker remembers.
 REMEMBERED = 150_000
 
@@ -90,16 +88,24 @@ def first_patterns(size: int, lengths: np.ndarray, demand: np.ndarray) -> tuple[
     return out, inverse
 
 
-def patterns(size: int, lengths: np.ndarray, demand: np.ndarray, most: int = ROUNDS):
-    """Basic patterns (a row each) and how often each is used, fractionally, in the program's solution."""
+def patterns(size: int, lengths: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Basic patterns (a row each), how often each is used, fractionally, and by what share their number may exceed the least.
+
+    Patterns are added until that share is within ``GAP`` by the better of two
+    bounds, the prices' and the total length's; or, should pivots no longer
+    change the number, after as many idle ones as there are lengths.
+    """
     basis, inverse = first_patterns(size, lengths, demand)  # column p: pattern p
     # products without a thread pool, which a driver that has forked cannot count on
     times = lambda x: np.einsum("ij,j->i", inverse, x)
     used = np.maximum(times(demand), 0)
-    for _ in range(most):
+    least, idle = float((lengths * demand).sum()) / size, 0
+    while True:
         price = inverse.sum(axis=0)
         worth, column = knapsack(size, lengths, price)
-        if worth <= 1 + GAP:  # no solution uses fewer than used.sum() / worth
+        number = used.sum()
+        least = max(least, number / worth)  # no solution uses fewer
+        if number <= (1 + GAP) * least or idle > len(lengths):
             break
         step = times(column.astype(float))
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -110,7 +116,8 @@ def patterns(size: int, lengths: np.ndarray, demand: np.ndarray, most: int = ROU
         inverse -= step[:, None] * row
         inverse[out] = row
         used = np.maximum(times(demand), 0)
-    return np.rint(basis.T).astype(np.int64), used
+        idle = 0 if used.sum() < number * (1 - 1e-12) else idle + 1
+    return np.rint(basis.T).astype(np.int64), used, used.sum() / least - 1
 
 
 @dataclass
@@ -126,6 +133,7 @@ class Plan:
     sequence: np.ndarray
     offset: np.ndarray
     sequences: int
+    gap: float = 0.0  # of the linear program, before patterns are rounded
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = (length.astype(np.int64) << 40) | rank
@@ -138,7 +146,7 @@ def plan_packing(size: int, histogram: dict[int, int]) -> Plan:
     """A plan for ``histogram`` (length below ``size``: number of remainders)."""
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[x] for x in lengths.tolist()], np.int64)
-    rows, sequences = [], 0
+    rows, sequences, gap = [], 0, 0.0
     left, rank = demand.copy(), np.zeros(len(lengths), np.int64)
 
     def take(pattern: np.ndarray, copies: int) -> None:
@@ -153,7 +161,7 @@ def plan_packing(size: int, histogram: dict[int, int]) -> Plan:
         sequences += copies
 
     if len(lengths):
-        basis, used = patterns(size, lengths, demand.astype(float))
+        basis, used, gap = patterns(size, lengths, demand.astype(float))
         for pattern, x in zip(basis, np.floor(used + 1e-7).astype(np.int64)):
             here = pattern > 0
             copies = min([int(x), *(left[here] // pattern[here]).tolist()])
@@ -177,7 +185,7 @@ def plan_packing(size: int, histogram: dict[int, int]) -> Plan:
             take(pattern, 1)
     rows.sort()
     columns = np.array(rows, np.int64).reshape(-1, 4).T
-    return Plan(*columns, sequences=sequences)
+    return Plan(*columns, sequences=sequences, gap=gap)
 
 
 class Tokens:

@@ -234,3 +234,12 @@ def test_text_totals_against_the_definition():
                 seen[w] += 1
             each.append(log)
     assert got == pytest.approx(np.log(np.mean(np.exp(np.array(each) - max(each)))) + max(each), abs=1e-4)
+
+
+def test_column_generation_reaches_its_gap_on_all_lengths():
+    rng = np.random.default_rng(0)
+    demand = rng.poisson(np.where(np.arange(1, 1024) < 700, 350, 80)) + 1
+    plan = packing.plan_packing(1024, dict(zip(range(1, 1024), demand.tolist())))
+    assert plan.gap <= packing.GAP
+    least = -(-int((np.arange(1, 1024) * demand).sum()) // 1024)
+    assert plan.sequences <= least * 1.01
