@@ -116,6 +116,8 @@ class Index:
             for f, w in vectors[i].items():
                 self.weights[at // BLOCK, f, at % BLOCK] = w
         self.most = np.ascontiguousarray(self.weights.max(axis=2).T) if size else np.zeros((0, self.blocks), np.float32)
+        # the features with a posting in each block: only those enter its product
+        self.posted = [np.flatnonzero(self.most[:, b]) for b in range(self.blocks)]
 
     def nearest(self, queries: list[dict[int, float]], k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each query the places and cosines of the ``k`` nearest examples with a cosine above 0, ties by place.
@@ -133,10 +135,10 @@ class Index:
 
     def _nearest(self, queries, k, without):
         many = len(queries)
-        table = np.zeros((many, self.most.shape[0]), np.float32)
-        for row, q in zip(table, queries):
-            row[list(q.keys())] = list(q.values())
-        bound = (table @ self.most) * (1 + SLACK) + SLACK
+        table = np.zeros((self.most.shape[0], many), np.float32)  # a row for each feature
+        for k, q in enumerate(queries):
+            table[list(q.keys()), k] = list(q.values())
+        bound = (table.T @ self.most) * (1 + SLACK) + SLACK
         order = np.argsort(-bound, axis=1, kind="stable")
         # cosines so far; a query's own example and places beyond the last stay out
         cosines = np.zeros((many, self.blocks * BLOCK), np.float32)
@@ -149,10 +151,13 @@ class Index:
             if not asked.any():
                 break
             for b in np.flatnonzero(asked.any(axis=0)).tolist():
-                who = np.flatnonzero(asked[:, b])
-                if 2 * len(who) > many:  # the product for all costs less than to gather most
+                who, posted = np.flatnonzero(asked[:, b]), self.posted[b]
+                held = table[posted]
+                if 2 * len(who) <= many:  # else the product for all costs less than to gather most
+                    held = held[:, who]
+                else:
                     who = slice(None)
-                cosines[who, b * BLOCK : (b + 1) * BLOCK] = table[who] @ self.weights[b]
+                cosines[who, b * BLOCK : (b + 1) * BLOCK] = held.T @ self.weights[b][posted]
             if without is not None:
                 cosines[self.example_at(without)] = 0
             if cosines.shape[1] > k:
