@@ -87,3 +87,51 @@ def test_smote_balances_and_interpolates(frame, cloud):
     assert made.loan_id.is_unique
     for c in COLS:
         assert made[c].between(base[c].min(), base[c].max()).all()
+
+
+def test_equal_distances_go_to_the_smaller_vector(spark):
+    """On a grid most distances are shared; the k-th place must not depend on the order of rows."""
+    grid = [(float(a), float(b)) for a in range(12) for b in range(12)]
+    df = spark.createDataFrame(sorted(grid, key=lambda v: (v[1] * 7 % 5, -v[0])), "a double, b double")
+    points = N.distinct_vectors(df, ["a", "b"])
+    found: dict = {}
+    for r in N.nearest(points, points, 3).collect():
+        found.setdefault(tuple(r["q"]), []).append((r["rank"], tuple(r["neighbor"])))
+    for q in grid:
+        want = sorted(grid, key=lambda v: (np.hypot(v[0] - q[0], v[1] - q[1]), v))[:3]
+        assert [v for _, v in sorted(found[q])] == want
+
+
+def test_few_pairs_are_measured_inside_a_box(monkeypatch):
+    """A leaf of queries leaves out the points that are far from it, and the result stays exact."""
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(6000, 4)) * [50.0, 20.0, 1.0, 1.0]
+    points[:, 3] = points[:, 3] > 0
+    queries = points[rng.permutation(6000)[:1500]]
+    measured = []
+    distances = N._distances
+    monkeypatch.setattr(N, "_distances", lambda *a: measured.append(len(a[1])) or distances(*a))
+    q, p, d = N._best(points, queries, 4, np.full(1500, np.inf))
+    assert sum(measured) < 0.01 * 6000 * 1500
+    order = np.lexsort((p, d, q))
+    for i in range(0, 1500, 50):
+        want = np.sqrt(((points - queries[i]) ** 2).sum(axis=1))
+        near = np.lexsort((np.arange(6000), want))[:4]
+        assert p[order][q[order] == i].tolist() == near.tolist()
+
+
+def test_missing_and_huge_numbers_in_a_box():
+    points = np.array([[0.0, 1.0], [np.nan, 1.0], [1e200, 0.0], [0.5, 1.0]])
+    q, p, d = N._best(points, points[:1], 2, np.full(1, np.inf))
+    assert q.tolist() == [0, 0] and p.tolist() == [0, 3] and d.tolist() == [0.0, 0.5]
+
+
+def test_copies_are_drawn_from_all_minority_neighbours(spark, monkeypatch):
+    """Only the rows that get copies are asked for, against every minority row."""
+    asked = []
+    search = N.nearest_numbers
+    monkeypatch.setattr(N, "nearest_numbers", lambda p, q, k: asked.append((p.count(), q.count())) or search(p, q, k))
+    rows = [(f"{i:03d}", int(i < 40), float(i), float(i % 7)) for i in range(90)]
+    out = N.smote(spark.createDataFrame(rows, "loan_id string, label int, a double, b double"), ["a", "b"], 3)
+    assert out.filter("synthetic").count() == 10
+    assert asked == [(40, 10)]
