@@ -56,6 +56,43 @@ def test_gap_alone_is_a_signal(spark, parts):
     assert precision_recall_area(threshold_counts(one.transform(rows))).first()[0] == 1.0
 
 
+def test_sums_of_both_ways_and_of_plain_python(spark, parts, monkeypatch):
+    """Products by node, keys, and sums that are handed on at once all agree with plain sums; rows lie in several batches."""
+    train, s = parts[0], replace(B.CLASSIFIER, rows=1.0, columns=1.0)
+    starts = B.learn_cells(train, FEATURES, 16)
+    cells_of = [len(starts[f]) for f in FEATURES]
+    assert cells_of == [16, 16, 1]
+    rows = B.placed(train, starts, "loan_id", "label", F.lit(0.0).alias("margin")).cache()
+    tree = B.Tree({1: (0, 8, True, 0.0, 0.0)}, {2: 0.1, 3: -0.1})
+    want = {}
+    for r in rows.collect():
+        node = 2 if r.cells[0] <= 8 else 3
+        w = 4.5 if r.label else 1.0
+        for f, c in enumerate(r.cells):
+            g, h = want.get((node, f, c), (0, 0))
+            want[node, f, c] = (g + round((0.5 - r.label) * w * B.UNIT), h + round(0.25 * w * B.UNIT))
+    def found(**more):
+        return {(r.node, r.feature, r.cell): (r.g, r.h) for r in B.level_sums(rows, s, 3, [], tree, [2, 3], [0, 1, 2], **more).collect()}
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        assert found() == found(cells_of=cells_of) == want
+        monkeypatch.setattr(B, "FEW", 1)
+        assert found(cells_of=cells_of) == want
+        monkeypatch.setattr(B, "HELD", 1)
+        assert found(cells_of=cells_of) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_tree_draws_its_rows_once(spark, parts, monkeypatch):
+    """The levels read rows whose margins are complete: no pass over them applies earlier trees again."""
+    passes, sums = [], B.level_sums
+    monkeypatch.setattr(B, "level_sums", lambda rows, s, width, trees, *more: passes.append(len(trees)) or sums(rows, s, width, trees, *more))
+    settings = replace(B.CLASSIFIER, rounds=7, depth=2, patience=7)
+    assert len(B.fit(*parts, FEATURES, settings).trees) == 7 and passes and set(passes) == {0}
+
+
 def test_gains_against_every_split(spark, parts):
     train, _ = parts
     s = replace(B.CLASSIFIER, rows=1.0, columns=1.0)
