@@ -59,3 +59,13 @@ def test_driver_contract(spark, data):
     assert set(oracles) <= set(queries)
     report = entry_points.entry(spark)
     assert report.columns[0] == "vin_yr" and report.count() > 1
+
+
+def test_partitions_grow_in_number(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 500, None if i % 7 == 0 else float(i)) for i in range(1000)], "loan_id int, x double").coalesce(1)
+    assert X.in_small_parts(df) is df
+    monkeypatch.setattr(X, "PARTITION_ROWS", 50)
+    parts = X.in_small_parts(df)
+    sizes = [r["count"] for r in parts.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 20 and max(sizes) <= 100
+    assert sorted(map(str, parts.collect())) == sorted(map(str, df.collect()))
