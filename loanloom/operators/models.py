@@ -3,8 +3,6 @@
 Forests are Spark ML's; boosted trees and the net are in modules of their own.
 """
 
-from functools import reduce
-
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -57,11 +55,9 @@ def cross_validate(
     """
     dealt = materialized(stratified_folds(df.filter(F.col("label").isNotNull()), folds, seed=seed, key=key))
     nets = network.fit(dealt, features, settings, key, "fold", folds)
-    scored = [
-        net.transform(dealt).select(F.lit(i).alias("model"), F.when(F.col("fold") == i, "test").otherwise("train").alias("part"), "label", "score")
-        for i, net in enumerate(nets)
-    ]
-    counts = threshold_counts(reduce(DataFrame.unionByName, scored), keys=("model", "part"))
+    scored = materialized(network.scores(nets, dealt, "fold", "label")).select("fold", "label", F.posexplode("scores").alias("model", "score"))
+    part = F.when(F.col("fold") == F.col("model"), "test").otherwise("train").alias("part")
+    counts = threshold_counts(scored.select("model", part, "label", "score"), keys=("model", "part"))
     return average_precision(counts, ("model", "part")).withColumnRenamed("model", "fold")
 
 

@@ -172,6 +172,37 @@ def test_net_of_several_shards(parts, monkeypatch):
     assert average_precision(threshold_counts(nets[0].transform(test))).first()[0] > base + 0.1
 
 
+def test_each_shard_is_a_partition(parts, monkeypatch):
+    kept = []
+    monkeypatch.setattr(N, "SHARD", 60)
+    monkeypatch.setattr(N, "materialized", lambda df: kept.append(df) or df)
+    N.fit(parts[0], FEATURES, N.Settings(hidden=(2,), epochs=1))
+    shards = -(-parts[0].count() // 60)
+    dealt = kept[0].select("shard", F.spark_partition_id().alias("part")).distinct().collect()
+    assert shards > 10 and len(dealt) == len({r.shard for r in dealt}) == len({r.part for r in dealt}) == shards
+
+
+def test_nets_learn_together_as_alone():
+    rng = np.random.default_rng(4)
+    sizes, s = N.shapes(3, (4, 4)), N.Settings(batch=20, penalty=0.1)
+    x, y = rng.normal(size=(107, 3)), rng.integers(0, 2, 107).astype(float)
+    rows = [np.arange(107), np.arange(5, 88), np.arange(0, 107, 9)]  # one net has no whole batch
+    states = np.stack([np.stack([N.initial(sizes, k), *np.zeros((2, len(N.initial(sizes, k))))]) for k in range(3)])
+    together, losses = N._epochs(states, [0, 7, 0], sizes, x, y, rows, s, 3, (1, 2))
+    for own, before, at, found, loss in zip(states, (0, 7, 0), rows, together, losses):
+        flat, m, v = own.copy()
+        draws, step = np.random.default_rng((1, 2)), before
+        for _ in range(3):
+            order, total = at[draws.permutation(len(at))], 0.0
+            for low in range(0, len(at), s.batch):
+                b = order[low : low + s.batch]
+                part, g = N.gradient(flat, sizes, x[b], y[b], s.penalty)
+                total, step = total + part * len(b), step + 1
+                m, v = N.FIRST * m + (1 - N.FIRST) * g, N.SECOND * v + (1 - N.SECOND) * g * g
+                flat = flat - s.rate * np.sqrt(1 - N.SECOND**step) / (1 - N.FIRST**step) * m / (np.sqrt(v) + N.GUARD)
+        assert np.allclose(found, [flat, m, v], rtol=1e-10, atol=1e-13) and loss == pytest.approx(total)
+
+
 def test_folds(spark, parts):
     df = parts[0].unionByName(parts[0].limit(1).withColumn("label", F.lit(None).cast("int")))
     dealt = stratified_folds(df, 5, seed=3)
@@ -184,3 +215,9 @@ def test_folds(spark, parts):
     assert {(r.fold, r.part) for r in scores} == {(i, p) for i in range(3) for p in ("train", "test")}
     base = parts[0].agg(F.avg("label")).first()[0]
     assert all(r.average_precision > base for r in scores)
+
+
+def test_all_nets_score_in_one_pass(parts):
+    found = cross_validate(parts[0], FEATURES, N.Settings(hidden=(2,), epochs=1), folds=3)
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()  # scores are there, none is computed again
+    assert found.count() == 6
