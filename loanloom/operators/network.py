@@ -83,8 +83,10 @@ class _Batch:
             w[:] = penalty
         self.penalties = penalties
         self.values = [np.empty((len(flat), n, c)) for c in (sizes[0][0], *[b for _, b in sizes])]
-        self.deltas = [np.empty_like(v) for v in self.values[1:]]
-        self.slopes = [np.empty_like(v) for v in self.values[1:-1]]
+        # two arrays of a width serve in turn, so that they stay in the core's cache
+        pool = {(b, turn): np.empty((len(flat), n, b)) for _, b in sizes for turn in (0, 1)}
+        self.deltas = [pool[b, k % 2] for k, (_, b) in enumerate(sizes)]
+        self.slopes = {b: np.empty((len(flat), n, b)) for _, b in sizes[:-1]}
         self.y = np.empty((len(flat), n))
 
     def take(self, x: np.ndarray, y: np.ndarray, at: np.ndarray) -> None:
@@ -105,7 +107,7 @@ class _Batch:
             np.matmul(values[k].swapaxes(1, 2), deltas[k], out=self.parts[k][0])
             np.add.reduce(deltas[k], axis=1, out=self.parts[k][1])
             if k:
-                slope = np.square(values[k], out=self.slopes[k - 1])
+                slope = np.square(values[k], out=self.slopes[self.layers[k][0].shape[1]])
                 np.subtract(1, slope, out=slope)
                 np.matmul(deltas[k], self.layers[k][0].swapaxes(1, 2), out=deltas[k - 1])
                 deltas[k - 1] *= slope
