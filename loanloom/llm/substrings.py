@@ -15,13 +15,15 @@ common, so that no task gets a whole group.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import by_batch, discard, finished, fresh, membership, perhaps, saved, taken
+from loanloom.llm.common import by_batch, discard, finished, fresh, membership, mixed, perhaps, saved, taken, utf8
 
 LENGTH = 400
 #: Windows hold this many pieces' lengths at least; shorter pieces find more places that repeat by chance.
@@ -34,6 +36,11 @@ LARGE = 64
 SPAN = 32
 #: Bytes whose pieces are hashed at a time.
 STEP = 1 << 20
+#: Words of a passage that is noticed wherever it stands twice, and of the runs that are compared for it (a power of two).
+PASSAGE, RUN = 50, 32
+#: Bytes between words, and a number for each byte.
+GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 def piece_length(length: int) -> int:
@@ -204,6 +211,9 @@ def _sorted_groups(parts: DataFrame, length: int) -> DataFrame:
             bunch.clear()
 
         for group, members in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            if len(members) == 1 and members[0]["copies"] > 1:  # one content, at several places
+                out.append((group, members[0]["digest"], b"\1" * members[0]["span"]))
+                continue
             bunch += [(group, m) for m in members]
             size += sum(len(m["segment"]) for m in members)
             if size >= CHUNK:
@@ -362,12 +372,97 @@ def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, gap + 1)].tolist(), (starts[np.append(gap, len(starts) - 1)] + length).tolist()))
 
 
+@lru_cache(2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``1 << bits`` powers of an odd number and of its inverse, modulo 2^64."""
+    out = []
+    for base in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)):
+        power = np.full(1 << bits, base, np.uint64)
+        power[0] = 1
+        out.append(np.cumprod(power))
+    return tuple(out)
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and 64-bit hashes of the words in ``data``, by sums of its bytes times powers of a number."""
+    edge = np.flatnonzero(np.diff(GAP[data], prepend=True, append=True))
+    first, end = edge[::2], edge[1::2]
+    out, low = np.empty(len(first), np.uint64), 0
+    while low < len(first):
+        high = max(low + 1, int(np.searchsorted(end, first[low] + STEP, "right")))
+        part = data[first[low] : end[high - 1]]
+        begin, stop = first[low:high] - first[low], end[low:high] - first[low]
+        power, inverse = _powers((len(part) - 1).bit_length())
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTES[part] * power[: len(part)], out=total[1:])
+        out[low:high] = mixed((total[stop] - total[begin]) * inverse[begin])
+        low = high
+    return first, out
+
+
+def passage_marks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marks of the texts by winnowing: the hash of a run of words, the text's number and the run's first word.
+
+    Of the runs inside :data:`PASSAGE` neighbouring words the leftmost with the
+    smallest hash is a mark, so equal passages hold an equal one.
+    """
+    first, h = word_hashes(np.frombuffer(b"\n".join(texts), np.uint8))
+    begins = np.cumsum([0] + [len(x) + 1 for x in texts[:-1]])
+    owner = np.searchsorted(begins, first, "right") - 1
+    starts = np.flatnonzero(owner[: max(0, len(owner) - PASSAGE + 1)] == owner[PASSAGE - 1 :])  # inside one text
+    if not len(starts):
+        return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64))
+    width, base = 1, 0xD6E8FEB86659FD93
+    while width < RUN:
+        h = h[:-width] * np.uint64(base) + h[width:]
+        base = base * base % (1 << 64)
+        width *= 2
+    h = value = mixed(h)
+    place, width, inside = np.arange(len(h)), 1, PASSAGE - RUN + 1
+    while width < inside:
+        k = min(width, inside - width)
+        value, place = _lower(value[:-k], place[:-k], value[k:], place[k:])
+        width += k
+    place = place[starts]
+    place = place[np.flatnonzero(np.diff(place, prepend=-1))]  # they rise
+    return h[place], owner[place], place - np.searchsorted(owner, owner[place])
+
+
+def shared_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(node, n_shared_words)`` for each different text with marks that stand elsewhere too: the words under those.
+
+    Every passage of :data:`PASSAGE` words that starts at two places of the
+    texts holds such a mark; fewer than :data:`RUN` common words hold none.
+    """
+    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(node_of(text).alias("node"), body.alias("text")).filter(F.octet_length("text") >= 2 * PASSAGE - 1)
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, own, first = passage_marks(utf8(batch.column(1)))
+        order = np.lexsort((first, h, own))
+        h, own, first = h[order], own[order], first[order]
+        new = np.ones(len(h), bool)  # a text's equal marks are one row
+        new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+        at = np.flatnonzero(new)
+        firsts = pa.ListArray.from_arrays(pa.array(np.append(at, len(h)), pa.int32()), pa.array(first))
+        node = batch.column(0).to_numpy()[own[at]]
+        return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(node), firsts], ["mark", "node", "firsts"])
+
+    marks = saved(by_batch(rows, mark, "mark long, node long, firsts array<long>", text=1, most=1 << 20))
+    often = marks.groupBy("mark").agg(F.sum(F.size("firsts")).alias("n")).filter("n > 1").select("mark")
+    starts = marks.join(often, "mark").groupBy("node").agg(F.sort_array(F.flatten(F.collect_set("firsts"))).alias("s"))
+    gaps = f"zip_with(slice(s, 2, size(s)), slice(s, 1, size(s) - 1), (b, a) -> least(b - a, {RUN}L))"
+    return starts.select("node", F.expr(f"aggregate({gaps}, {RUN}L, (x, y) -> x + y)").alias("n_shared_words"))
+
+
 def removal_digests(docs: DataFrame, text: str = "text", ident: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """``(id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row.
+    """``(id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words)`` for every row.
 
     A null text is an empty one; texts shorter than ``length`` bytes lose
     nothing.  Equal texts of several rows repeat each other.  Null ids are
-    rows like others; other columns are not read.
+    rows like others; other columns are not read.  Passages of many words may
+    hold fewer bytes than ``length``; :func:`shared_words` tells of those, and
+    nothing is removed for them.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(
@@ -377,11 +472,12 @@ def removal_digests(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     found = find_repeats(docs, text, length).select(
         "node", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha")
     )
-    return rows.join(found, "node", "left").select(
+    return rows.join(found, "node", "left").join(shared_words(docs, text), "node", "left").select(
         F.col("id").alias(ident), "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("kept_sha", "sha").alias("kept_sha256"),
+        F.coalesce("n_shared_words", F.lit(0)).cast("long").alias("n_shared_words"),
     )
 
 
