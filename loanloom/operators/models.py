@@ -1,6 +1,7 @@
 """Random forests, scoring, cross-validation and feature importance.
 
-Forests are Spark ML's; boosted trees and the net are in modules of their own.
+Forests of shallow trees are Spark ML's; deep ones, boosted trees and the net
+are in modules of their own.
 """
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -8,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanloom.operators import forest as deep
 from loanloom.operators import network
 from loanloom.operators.curves import average_precision, threshold_counts
 from loanloom.operators.features import stratified_folds
@@ -15,12 +17,16 @@ from loanloom.session import materialized
 
 #: Spark's trees need a depth limit; this is the largest.
 DEEPEST = 30
+#: The greatest depth that is left to Spark's learner.
+SHALLOW = 10
 
 
 def forest(
     train: DataFrame, trees: int = 200, depth: int = DEEPEST, min_leaf: int = 1, seed: int = 0
 ):
     """Random forest on a frame with ``features`` and ``label``."""
+    if depth > SHALLOW:
+        return deep.fit(train, trees, depth, min_leaf, seed)
     learner = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed
     )
@@ -30,6 +36,8 @@ def forest(
 def score(model, df: DataFrame) -> DataFrame:
     """Add ``score`` (probability of the positive class) and hard ``prediction``."""
     out = model.transform(df)
+    if isinstance(model, deep.Forest):
+        return out
     if "probability" in out.columns:
         return (
             out.withColumn("score", vector_to_array("probability")[1])
