@@ -221,3 +221,20 @@ def test_all_nets_score_in_one_pass(parts):
     found = cross_validate(parts[0], FEATURES, N.Settings(hidden=(2,), epochs=1), folds=3)
     assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()  # scores are there, none is computed again
     assert found.count() == 6
+
+
+def test_splits_on_the_driver_are_those_of_windows(spark, parts, monkeypatch):
+    """Trees whose levels are sought on the driver, half of their nodes summed, and trees by windows over all sums."""
+    settings = replace(B.CLASSIFIER, rounds=4, patience=4, depth=5)
+    asked, sums = [], B.level_sums
+    with monkeypatch.context() as m:
+        m.setattr(B, "level_sums", lambda rows, s, width, trees, tree, nodes, *more: asked.append(len(nodes)) or sums(rows, s, width, trees, tree, nodes, *more))
+        one = B.fit(*parts, FEATURES, settings)
+    nodes = sum(1 + len(t.splits) for t in one.trees)
+    assert sum(asked) < nodes + 4 * 2  # one of two children, and the roots
+    monkeypatch.setattr(B, "FEW", 0)
+    other = B.fit(*parts, FEATURES, settings)
+    assert [(t.splits, t.leaves) for t in one.trees] == [(t.splits, t.leaves) for t in other.trees] and one.areas == other.areas
+    monkeypatch.setattr(B, "FEW", 2)
+    mixed = B.fit(*parts, FEATURES, settings)
+    assert [(t.splits, t.leaves) for t in mixed.trees] == [(t.splits, t.leaves) for t in one.trees]
